@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, topk
+from . import bpe, html_extract, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk_search": topk.query,
     "op2_quality_rules": quality.query,
+    "op3_html_extraction": html_extract.query,
+    "op4_pii": pii.query,
+    "op5_line_dedup": line_dedup.query,
+    "op6_ngram_jaccard_join": jaccard_join.query,
     "op7_mixing_sources": mixing.query,
+    "op8_substring_dedup": substring_dedup.query,
+    "op9_toxicity": toxicity.query,
     "op10_bpe_encode_decode": bpe.query,
 }
 
