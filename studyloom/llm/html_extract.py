@@ -48,6 +48,8 @@ FURNITURE = {
     "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies",
     "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
+#: First parts of class names that tell of the page, not of the element.
+STATES = {"has", "with", "no", "is", "not", "without"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
 
 TAG = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|</[^>]*>|<[a-zA-Z/][^<>]*\Z")
@@ -61,8 +63,10 @@ def _is_furniture(attributes: str) -> bool:
         if key.lower() == "role":
             if value.strip() in FURNITURE_ROLES:
                 return True
-        elif any(part in FURNITURE for part in re.split(r"[^a-z]+", value)):
-            return True
+        else:
+            for part in map(re.compile(r"[^a-z]+").split, value.split()):
+                if (part[0] in FURNITURE or part[-1] in FURNITURE) and part[0] not in STATES:
+                    return True
     return bool(HIDDEN.search(attributes))
 
 
@@ -126,14 +130,14 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
             elif skip == ["p"] and name not in INLINE and name not in VOID:
                 skip.clear()  # a paragraph ends where a block begins
             else:
-                if name not in VOID and name not in INLINE and not attributes.endswith("/"):
+                if name not in VOID and (name not in INLINE or name in skip) and not attributes.endswith("/"):
                     skip.append(name)
                 continue
         if name == "a":
             in_link = 0 if closing else 1
         if name in INLINE and (closing or not attributes or name == "a"):
             continue
-        leave = not closing and (name in NEVER or name not in MAIN and name not in ("html", "body") and name not in VOID and bool(attributes) and _is_furniture(attributes))
+        leave = not closing and (name in NEVER or name not in MAIN and name not in ("html", "body") and name not in VOID and name != "h1" and bool(attributes) and _is_furniture(attributes))
         if name in INLINE and not leave:
             continue
         if leave and in_link and name in INLINE:
