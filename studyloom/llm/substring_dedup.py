@@ -1,14 +1,15 @@
 """Substring dedup by hashing lines and their parts.
 
-The units of a text are its lines, cut further where a sentence ends. A passage that was pasted
-into the middle of a line would hide in a unit with its neighbours, so units of more than
-``LONG`` words are cut again at word positions that depend on the words alone (one in ``PARTS``
-by hash). Units are normalised: ASCII upper case, white space and outer punctuation don't count.
+The units of a text are its lines. A passage that was pasted into the middle of a line would hide
+in a unit with its neighbours, so lines of more than ``LONG`` words are cut into parts where the
+hash of two adjoining words is the least within ``REACH`` words to either side. Such places depend
+on the words around them only, and parts have more than ``REACH`` words, but at a line's ends.
+Units are normalised: ASCII capitals, white space and punctuation don't count.
 
 Units are grouped by a 128-bit digest over the whole corpus. The occurrence of the smallest
 (doc_id, start) is the earliest ranked and stays. All others are marked; neighbouring marked
 units of a document become one span, and spans of ``LEAST_WORDS`` words or more are removed.
-Shorter ones stay: a lone short sentence repeats by chance. Spans have the start and end
+Shorter ones stay: a lone short line repeats by chance. Spans have the start and end
 (code points, end exclusive) in the original text.
 
 Digests are counted before each shuffle; only occurrences of repeated digests are joined back,
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .hashing import ALNUM, LOWER, groups, mix, word_hashes, words
 
-LONG, PARTS, LEAST_WORDS = 12, 8, 18
+LONG, REACH, LEAST_WORDS = 12, 4, 18
 UNIT = pa.schema([("doc_id", pa.int64()), ("nr", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
@@ -42,19 +43,16 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(s):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     h = word_hashes(LOWER[data], s, e)
-    # what stands between a word and the next decides whether a unit ends there
-    newline = np.concatenate([[0], np.cumsum(data == 0x0A)])
-    stop = np.concatenate([[0], np.cumsum((data == 0x2E) | (data == 0x21) | (data == 0x3F))])
-    space = np.concatenate([[0], np.cumsum((data == 0x20) | (data == 0x09) | (data == 0x0D))])
-    after = np.append(s[1:], len(data))
-    ends = newline[after] > newline[e]
-    ends |= (stop[after] > stop[e]) & (space[after] > space[e])
-    ends[-1] = True
-    first = np.append(0, np.flatnonzero(ends)[:-1] + 1)
-    length = np.diff(np.append(first, len(s)))
-    long_one = np.repeat(length > LONG, length)
-    pair = np.append(np.uint64(0), h[:-1]) * np.uint64(3) + h
-    ends |= long_one & (mix(pair) % np.uint64(PARTS) == 0)
+    line = np.concatenate([[0], np.cumsum(data == 0x0A)])[s]
+    ends = np.append(line[1:] != line[:-1], True)
+    length = np.diff(np.append(-1, np.flatnonzero(ends)))
+    cut = np.repeat(length > LONG, length)
+    pair = mix(h * np.uint64(3) + np.append(h[1:], np.uint64(0)))
+    for k in range(1, REACH + 1):
+        less, same = pair[:-k] < pair[k:], line[:-k] == line[k:]
+        cut[:-k] &= less | ~same
+        cut[k:] &= (pair[k:] < pair[:-k]) | ~same
+    ends |= cut
     last = np.flatnonzero(ends)
     first = np.append(0, last[:-1] + 1)
     n = last - first + 1
