@@ -62,3 +62,29 @@ def words_of(text: Column) -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Bits of a key filter: 2**17 words, whatever the number of keys.
+FILTER_BITS = 1 << 23
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return F.shiftright(slot, 6).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
+
+
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """(__word, __bits): a bitmap of the hashed keys, at most FILTER_BITS / 64 rows, to be broadcast.
+
+    It keeps rows that surely have no partner out of a shuffle. With very many keys it lets all pass, and the join decides.
+    """
+    word, bit = _slot(F.col(column))
+    bits = keys.select(word.alias("__word"), bit.alias("__bit")).distinct()
+    return bits.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+
+
+def flagged(df: DataFrame, bits: DataFrame, key: Column) -> DataFrame:
+    """df with __may: whether the key may be among the filter's."""
+    word, bit = _slot(key)
+    joined = df.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(bits), "__word", "left")
+    return joined.withColumn("__may", F.coalesce(F.expr("(shiftright(__bits, __bit) & 1) = 1"), F.lit(False))).drop("__word", "__bit", "__bits")

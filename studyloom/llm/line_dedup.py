@@ -6,8 +6,9 @@ elsewhere. Chunks of several lines are grouped by digest over the whole corpus.
 occurs more than once the chunks' bytes are compared: occurrences are grouped by the text
 itself. The occurrence in the smallest doc_id, and there the first, stays; the others are removed.
 
-Only digests, not texts, are grouped for all chunks; texts move where a digest repeats. Counts
-are aggregated before each shuffle, so a chunk that a third of all documents hold is a row a task.
+Only digests, not texts, are grouped for all chunks; texts move where a digest repeats, behind a
+bitmap of bounded size, and whole documents only where something is removed. Counts are aggregated
+before each shuffle, so a chunk that a third of all documents hold is a row a task.
 
 Cases: null text counts as empty; a text without a chunk of several lines stays as it is;
 lines are separated by newline only and keep their other bytes; chunks need ``LEAST_LINES``
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, flagged, key_filter, read
 
 WINDOW, AVERAGE, LEAST_LINES = 2, 3, 2
 
@@ -67,6 +68,7 @@ def removals(docs: DataFrame, keep: Scratch) -> DataFrame:
     again = keep.save(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "again")
     rows = F.transform(eligible, lambda c: F.struct(_place(c).alias("place"), c["digest"].alias("digest"), _text(c).alias("bytes")))
     texts = cut.select("__doc", "__of", F.explode(rows).alias("c")).select("__doc", "__of", "c.*")
+    texts = flagged(texts, key_filter(again, "digest"), F.col("digest")).where("__may").drop("__may")
     texts = keep.save(texts.join(again.hint("shuffle_hash"), "digest", "left_semi"), "texts")
     same = texts.groupBy("digest", "bytes").agg(F.min("__doc").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = texts.join(same, ["digest", "bytes"]).groupBy("digest", "bytes", "keeper", "__doc", "__of").agg(F.sort_array(F.collect_set("place")).alias("places"))
@@ -80,8 +82,11 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keep = Scratch(spark)
     gone = keep.save(removals(docs, keep), "gone")
     keep.drop("texts", "again")
-    joined = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__of")), "left")
-    joined = chunked(joined).withColumn("__removed", F.coalesce("__removed", F.expr("cast(array() as array<bigint>)")))
+    # texts that surely keep all their chunks aren't shuffled
+    split = flagged(docs, key_filter(gone, "__doc"), F.col("doc_id"))
+    changed = split.where("__may").drop("__may").join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__of")), "left")
+    changed = changed.select(*docs.columns, "__removed").unionByName(split.where("NOT __may").select(*docs.columns, F.lit(None).cast("array<bigint>").alias("__removed")))
+    joined = chunked(changed).withColumn("__removed", F.coalesce("__removed", F.expr("cast(array() as array<bigint>)")))
     kept = F.array_except(F.transform("__chunks", _place), F.col("__removed"))
     lines = F.transform(kept, lambda p: F.array_join(F.slice("__lines", F.shiftright(p, 32).cast("int") + 1, p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")), "\n"))
     text = F.when(F.size("__removed") == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
