@@ -105,6 +105,11 @@ def _hits(row, q_ids, q, c_ids, c, at_q, at_c, score, k: int) -> pd.DataFrame:
     return pd.DataFrame({"query_id": q_ids[at_q], "query_nr": row.q_block * QUERIES + at_q, "vec_id": c_ids[at_c], "own": own, "score": whole}).astype({"score": np.int64})
 
 
+def _lower(bound: np.ndarray) -> np.ndarray:
+    """A little less, so that rounding can't cut; minus infinity (no cutoff) stays."""
+    return np.where(np.isfinite(bound), bound - np.abs(np.where(np.isfinite(bound), bound, 0)) * 1e-9 - 1e-9, bound)
+
+
 def _phase(pairs: DataFrame, k: int) -> DataFrame:
     """Phase 1 where pairs has no cutoffs, else phases 2 and 3."""
     with_cutoff = "cutoffs" in pairs.columns
@@ -122,11 +127,11 @@ def _phase(pairs: DataFrame, k: int) -> DataFrame:
                         cutoff[nr - row.q_block * QUERIES] = value
                     zeros = [p.min(axis=1) for p in parts]
                     threshold = (cutoff - sum(zeros).astype(float)) / len(parts)
-                    threshold -= np.abs(threshold) * 1e-9 + 1e-9  # rounding must not cut
+                    threshold = _lower(threshold)
                     seen = np.zeros(total.shape, bool)
                     for p, z in zip(parts, zeros, strict=True):
                         seen |= p - z[:, None] >= threshold[:, None]
-                    seen &= total >= cutoff[:, None] - np.abs(cutoff[:, None]) * 1e-9 * (total.dtype == object)
+                    seen &= total >= (_lower(cutoff) if total.dtype == object else cutoff)[:, None]
                 elif len(c) <= k + 1:
                     seen = np.ones(total.shape, bool)
                 else:
