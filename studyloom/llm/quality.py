@@ -170,8 +170,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents kept. Verdicts are worked out beside the row, so no join on doc_id moves texts."""
-    voted = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    voted = with_votes(measures(voted))
-    patterns = with_votes(measures(docs.select("text"))).groupBy("__pattern").agg(F.count("*").alias("n"))
-    return judge(voted, patterns).where("kept").select("__row.*")
+    """The documents kept. Verdicts are worked out beside the row, so no join on doc_id moves texts.
+
+    A failed base rule is a pattern of its own, and the join with the patterns that are kept is the filter: a filter on the
+    verdict would be pushed below the measures and repeat them.
+    """
+
+    def patterned(df: DataFrame) -> DataFrame:
+        return with_votes(measures(df)).withColumn("__key", F.when(base_failed(), -1).otherwise(F.col("__pattern")))
+
+    patterns = patterned(docs.select("text")).groupBy("__key", "__pattern").agg(F.count("*").alias("n"))
+    patterns = Scratch(spark).save(patterns, "patterns")
+    post = posteriors(patterns.groupBy("__pattern").agg(F.sum("n").alias("n")), len(rules()))
+    kept = post.where("posterior >= 0.5").select(F.col("__pattern").alias("__key"))  # at most 3**8 rows, 256 in use
+    rows = patterned(docs.select(F.struct(*docs.columns).alias("__row"), "text")).select("__row", "__key")
+    return rows.join(F.broadcast(kept), "__key").select("__row.*")
