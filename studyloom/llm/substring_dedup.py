@@ -84,7 +84,7 @@ def units(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, start, end, n_words, n_units, first_doc_id: the spans to remove; first_doc_id holds the span's first unit earliest."""
+    """doc_id, start, end, n_words, n_units, first_doc_id: the spans to remove; first_doc_id is the smallest that holds one of the span's units."""
     keep = Scratch(spark)
     found = keep.save(units(docs), "units")
     earliest = F.min(F.struct("doc_id", "start"))
@@ -98,7 +98,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = W.partitionBy("doc_id").orderBy("nr")
     run = F.sum((F.col("nr") - F.coalesce(F.lag("nr").over(order), F.lit(-2)) > 1).cast("int")).over(order)
     spans = marked.withColumn("run", run).groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_units"), F.min_by("first_doc_id", "nr").alias("first_doc_id")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_units"), F.min("first_doc_id").alias("first_doc_id")
     )
     return spans.where(F.col("n_words") >= LEAST_WORDS).drop("run")
 

@@ -248,7 +248,8 @@ def test_line_dedup(spark, cases, empty):
 def test_line_dedup_borders_survive_insertions(spark):
     lines = [f"line number {i}" for i in range(200)]
     a, b = docs(spark, ["\n".join(lines), "\n".join(["new one", *lines])]).transform(line_dedup.chunked).orderBy("doc_id").select("__chunks").collect()
-    assert len({c["digest"] for c in a[0]} & {c["digest"] for c in b[0]}) >= 0.9 * len(a[0]) - 3
+    one, two = ({c["digest"] for c in x[0]} - {None} for x in (a, b))
+    assert len(one) > 20 and len(one & two) >= len(one) - 2
 
 
 # op6
