@@ -27,7 +27,7 @@ def fuse(channels: list[DataFrame], weights: dict[str, float] = WEIGHTS, k: int
     number = F.coalesce(*[F.when(F.col("channel") == n, i) for i, n in enumerate(names)])
     weight = F.coalesce(*[F.when(F.col("channel") == n, F.lit(w)) for n, w in weights.items()])
     rank = F.coalesce("rank", F.count("*").over(W.partitionBy("query_id", "channel")))
-    hits = hits.where("chunk_id IS NOT NULL").withColumn("nr", number).withColumn("weight", weight).withColumn("at", rank)
+    hits = hits.withColumn("at", rank).where("chunk_id IS NOT NULL").withColumn("nr", number).withColumn("weight", weight)
     fused = hits.groupBy("query_id", "chunk_id").agg(
         F.round(F.sum(F.col("weight") / (k + F.col("at"))), 9).alias("rrf_score"),
         F.min(F.struct("nr", "at", "channel")).alias("first"),

@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
+_NAMED = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType(), "float": T.FloatType(), "double": T.DoubleType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
+def _type(text: str) -> T.DataType:
+    if m := re.fullmatch(r"array<(.*)>", text):
+        return T.ArrayType(_type(m[1]))
+    if m := re.fullmatch(r"struct<(.*)>", text):
+        return T.StructType([T.StructField(n, _type(t)) for n, t in (f.split(":") for f in m[1].split(","))])
+    return _NAMED[text]
+
 
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type, ..."; needs no session, unlike the DDL parser."""
+    return T.StructType([T.StructField(f.split(" ")[0], _type(f.split(" ")[1])) for f in text.split(", ")])
 
 
 CHUNK = _schema(
