@@ -4,6 +4,7 @@ The units of a text are its lines. A passage that was pasted into the middle of
 in a unit with its neighbours, so lines of more than ``LONG`` words are cut into parts where the
 hash of two adjoining words is the least within ``REACH`` words to either side. Such places depend
 on the words around them only, and parts have more than ``REACH`` words, but at a line's ends.
+Parts that stay longer than twice ``LONG`` words (loops of a few words) are cut every ``LONG`` words.
 Units are normalised: ASCII capitals, white space and punctuation don't count.
 
 Units are grouped by a 128-bit digest over the whole corpus. The occurrence of the smallest
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .hashing import ALNUM, LOWER, groups, mix, word_hashes, words
 
-LONG, REACH, LEAST_WORDS = 12, 4, 18
+LONG, REACH, LEAST_WORDS = 10, 3, 15
 UNIT = pa.schema([("doc_id", pa.int64()), ("nr", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
@@ -53,6 +54,10 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         cut[:-k] &= less | ~same
         cut[k:] &= (pair[k:] < pair[:-k]) | ~same
     ends |= cut
+    # loops of a few words have no least place; they look alike wherever they are cut
+    length = np.diff(np.append(-1, np.flatnonzero(ends)))
+    since = np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
+    ends |= (np.repeat(length, length) > 2 * LONG) & (since % LONG == LONG - 1)
     last = np.flatnonzero(ends)
     first = np.append(0, last[:-1] + 1)
     n = last - first + 1
