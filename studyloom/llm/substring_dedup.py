@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .hashing import ALNUM, LOWER, groups, mix, word_hashes, words
 
-LONG, REACH, LEAST_WORDS = 10, 3, 15
+LONG, REACH, LEAST_WORDS = 10, 3, 25
 UNIT = pa.schema([("doc_id", pa.int64()), ("nr", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
