@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """name, n of each table."""
@@ -26,6 +27,22 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
+    """rule, broken: primary keys, unique keys and references of the schema registry that the tables break, for tables given."""
+    keys = {(name, (key,)) for name, (_, key) in schemas.TABLES.items()} | {(name, tuple(k)) for name, k in schemas.UNIQUE.items()}
+    out = None
+    for name, key in sorted(keys):
+        if name in tables:
+            one = duplicates(tables[name], list(key)).agg(F.count("*").alias("broken")).select(F.lit(f"{name}({', '.join(key)})").alias("rule"), "broken")
+            out = one if out is None else out.unionAll(one)
+    for child, key, parent, parent_key in schemas.FOREIGN_KEYS:
+        if child in tables and parent in tables:
+            rule = f"{child}.{key} -> {parent}.{parent_key}"
+            one = violations(tables[child], key, tables[parent], parent_key, rule).agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
+            out = one if out is None else out.unionAll(one)
+    return out.where("broken > 0")
+
+
 def missing(expected: DataFrame, present: DataFrame) -> DataFrame:
     """Rows of expected (name) that no present path contains. expected is a short list of required files."""
     paths = present.select("path")

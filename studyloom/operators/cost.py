@@ -27,6 +27,14 @@ def providers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PROVIDERS, PROVIDER)
 
 
+def provider(spark: SparkSession, name: str) -> dict:
+    """A provider's row; an unknown name is an error that lists the known ones."""
+    rows = {r.provider: r.asDict() for r in providers(spark).collect()}  # 8 rows
+    if name not in rows:
+        raise ValueError(f"unknown provider {name}; known: {', '.join(sorted(rows))}")
+    return rows[name]
+
+
 def cost(usage: DataFrame, dimension: DataFrame) -> DataFrame:
     """usage (provider, input_tokens, cache_hit_tokens, cache_created_tokens, output_tokens) with cost.
 

@@ -121,6 +121,13 @@ def compact(history: DataFrame, summaries: DataFrame, as_of: str, only_complete_
     return made, left, totals
 
 
+def compact_if_needed(history: DataFrame, summaries: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The start-up job: compaction where the status of any user asks for it, else None."""
+    if compaction_status(history, as_of).where("needs_compression").isEmpty():
+        return None
+    return compact(history, summaries, as_of)
+
+
 def month_cost(history: DataFrame, month: str) -> DataFrame:
     """user_id, month_cost of a month YYYY-MM; null costs count as none."""
     start = F.lit(f"{month}-01").cast("timestamp_ntz")
@@ -134,6 +141,11 @@ def daily_stats(history: DataFrame) -> DataFrame:
     return history.groupBy(day.alias("day")).agg(F.count_distinct("user_id").alias("active_users"), F.count("*").alias("total_queries"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 2).alias("total_cost"))
 
 
+def create_stats_view(history: DataFrame, name: str = "v_user_stats") -> None:
+    """The daily figures as a view."""
+    daily_stats(history).createOrReplaceTempView(name)
+
+
 def running_totals(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """rows with session_cost and session_queries so far."""
     w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

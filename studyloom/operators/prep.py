@@ -25,6 +25,17 @@ def corrected(text: Column, pairs: dict[str, str]) -> Column:
     return text
 
 
+def tag(docs: DataFrame, signals: DataFrame) -> DataFrame:
+    """(doc_id, tags): the tags one of whose signals (tag, signal) a text holds, in order of name; empty without any.
+
+    The signal table is a short list that is aggregated to one row; documents aren't shuffled.
+    """
+    listed = signals.groupBy("tag").agg(F.collect_set("signal").alias("words")).agg(F.sort_array(F.collect_list(F.struct("tag", "words"))).alias("table"))
+    both = docs.join(F.broadcast(listed))  # one row
+    held = F.filter("table", lambda t: F.exists(t["words"], lambda w: F.contains(F.col("text"), w)))
+    return both.select("doc_id", F.transform(held, lambda t: t["tag"]).alias("tags"))
+
+
 def normalized(df: DataFrame, column: str = "text", form: str = "NFKC") -> DataFrame:
     """Unicode normalisation, in Arrow batches: Spark has no such function."""
 

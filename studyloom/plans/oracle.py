@@ -279,3 +279,13 @@ ORACLE_SQL["typo_fix"] = f"SELECT doc_id, CAST(length({_fixed}) AS INTEGER) AS n
 ORACLE_SQL["chunking"] = """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), c AS (SELECT doc_id, ls, unnest(range(0, (len(ls) - 1) // 4 + 1)) AS chunk_no FROM l)
 SELECT doc_id, chunk_no, md5(array_to_string(ls[chunk_no * 4 + 1 : chunk_no * 4 + 4], chr(10))) AS md5 FROM c"""
 ORACLE_SQL["unsupported_nodes"] = "SELECT p_partkey AS node_id, p_type AS category FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)"
+ORACLE_SQL["unicode_norm"] = "SELECT doc_id, CAST(length(nfc_normalize(text)) AS INTEGER) AS n, md5(nfc_normalize(text)) AS md5 FROM documents"
+_sys = len(q.SYSTEM) + 2  # an empty profile follows the prompt
+_p1 = cost.PROVIDERS[0]
+ORACLE_SQL["llm_reply_cost"] = f"""WITH u AS (SELECT doc_id AS query_id, chr(10) || chr(10) || substr(text, 1, 200) AS t FROM documents),
+n AS (SELECT query_id, substr(t, 1, 60) AS content, CAST(({_sys} + length(t)) // 4 AS BIGINT) AS input_tokens, CAST(least(length(t), 60) // 4 AS BIGINT) AS output_tokens, CAST({_sys // 4 // 64 * 64} AS BIGINT) AS cache_hit_tokens FROM u)
+SELECT *, round((cache_hit_tokens * {_p1[5]}::DOUBLE + (input_tokens - cache_hit_tokens) * {_p1[4]}::DOUBLE + output_tokens * {_p1[6]}::DOUBLE) / 1000000.0::DOUBLE, 6) AS cost FROM n"""
+ORACLE_SQL["constraint_report"] = """SELECT 'user_profile(user_id)' AS rule, count(*) AS broken FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 10 = 1)
+  UNION ALL SELECT 'query_history.user_id -> users.user_id', count(*) FROM orders WHERE o_orderkey % 50 = 0 AND -o_orderkey NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0"""
+ORACLE_SQL["signal_tags"] = """SELECT doc_id, array_to_string([t FOR t IN [CASE WHEN contains(text, 'idiot') OR contains(text, 'moron') THEN 'insult' END, CASE WHEN contains(text, 'license') OR contains(text, 'License') THEN 'licence' END,
+  CASE WHEN contains(text, 'token') THEN 'secret' END] IF t IS NOT NULL], ',') AS tags FROM documents"""

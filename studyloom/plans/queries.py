@@ -416,8 +416,8 @@ def minhash_pairs(s, d):
 
 @query
 def unicode_norm(s, d):
-    n = prep.normalized(ad.table(s, d, "documents").select("doc_id", "text"))
-    return n.select("doc_id", F.length("text").alias("n"), F.crc32(F.encode("text", "UTF-8")).alias("crc"))
+    n = prep.normalized(ad.table(s, d, "documents").select("doc_id", "text"), form="NFC")
+    return n.select("doc_id", F.length("text").alias("n"), F.md5(F.encode("text", "UTF-8")).alias("md5"))
 
 
 FIXES = {"teh": "the", "###": "", "!!": "!", "ss": "ß"}
@@ -446,9 +446,29 @@ def unique_keys(s, d):
     return catalog.duplicates(ad.table(s, d, "lineitem"), ["l_orderkey", "l_partkey"])
 
 
+SYSTEM = "You explain briefly. " * 20
+
+
 @query
 def llm_reply_cost(s, d):
     """Messages, the stub client's replies, and their cost."""
     docs = ad.table(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("").alias("static_text"), F.lit("").alias("recent_text"), tx.prefix(F.col("text"), 200).alias("prompt"))
-    replies = cost.call(fm.messages(docs, "You explain briefly. " * 20)).withColumn("provider", F.lit("p1")).withColumn("cache_created_tokens", F.lit(0))
+    replies = cost.call(fm.messages(docs, SYSTEM)).withColumn("provider", F.lit("p1")).withColumn("cache_created_tokens", F.lit(0))
     return cost.cost(replies, cost.providers(s)).select("query_id", "content", "input_tokens", "output_tokens", "cache_hit_tokens", "cost")
+
+
+@query
+def constraint_report(s, d):
+    """Broken keys and references of the application's tables, by the schema registry."""
+    h = ad.history_quarters(s, d).withColumn("user_id", F.when(F.col("id") % 50 == 0, -F.col("id")).otherwise(F.col("user_id")))
+    profile = ad.profiles(s, d)
+    t = {"users": ad.users(s, d), "user_profile": profile.unionByName(profile.where("user_id % 10 = 1")), "query_history": h}
+    return catalog.check_constraints(t)
+
+
+@query
+def signal_tags(s, d):
+    """Tags of documents by signal words, as a stand-in for a model's tagging."""
+    signals = files.literal_rows(s, [("insult", "idiot"), ("insult", "moron"), ("licence", "license"), ("licence", "License"), ("secret", "token")], "tag string, signal string")
+    tagged = prep.tag(ad.table(s, d, "documents").select("doc_id", "text"), signals)
+    return tagged.select("doc_id", joined("tags").alias("tags"))

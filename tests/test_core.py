@@ -157,6 +157,22 @@ def test_compaction_thresholds_and_rerun(spark):
     assert history.compact(h, none, "2020-05-15", only_complete_quarters=True)[0].count() == 0
 
 
+def test_start_up_job_view_and_layout(spark, tmp_path):
+    start = dt.datetime(2020, 1, 1)
+    h = spark.createDataFrame([(i, 1, f"q{i}", 1.0, start + dt.timedelta(days=i)) for i in range(31)], "id long, user_id long, query string, cost double, created_at timestamp_ntz")
+    none = spark.createDataFrame([], "user_id long, period string, summary string")
+    assert history.compact_if_needed(h.where("id < 30"), none, "2021-01-01") is None
+    assert history.compact_if_needed(h, none, "2021-01-01")[0].count() == 1
+    history.create_stats_view(h)
+    assert spark.sql("SELECT sum(total_queries) FROM v_user_stats").first()[0] == 31
+    sinks.write_history(h, f"{tmp_path}/h")
+    back = spark.read.parquet(f"{tmp_path}/h").where("month = '2020-01'")
+    assert back.count() == 31 and "PartitionFilters: [isnotnull(month" in back._jdf.queryExecution().toString()
+    assert cost.provider(spark, "p2")["input_hit"] is None
+    with pytest.raises(ValueError, match="unknown provider"):
+        cost.provider(spark, "none")
+
+
 def test_month_rolls_over_december(spark):
     rows = [(1, 1.0, dt.datetime(2020, 12, 31, 23, 59)), (1, None, dt.datetime(2020, 12, 1)), (1, 5.0, dt.datetime(2021, 1, 1))]
     h = spark.createDataFrame(rows, "user_id long, cost double, created_at timestamp_ntz")
