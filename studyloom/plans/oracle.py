@@ -28,11 +28,11 @@ chunks AS (SELECT w.doc_id AS chunk_id, source AS video_id, CAST(w.doc_id % 7 +
   w[1] AS short_title, substr(text, 1, 200) AS text_preview, w[1:3] AS topics, w[4:5] AS patterns, coalesce(quality = 1, false) AS has_brand_signal, coalesce(toxic = 1, false) AS has_warning
   FROM w LEFT JOIN labels USING (doc_id))"""
 DAYS = "h AS (SELECT event_id AS id, user_id, event_type AS query, props AS diagnosis, event_type AS diagnosis_summary, value AS cost, ts AS created_at FROM events)"
-QUARTERS = "o AS (SELECT o_orderkey AS id, o_custkey AS user_id, o_orderstatus || ' ' || o_orderpriority AS query, o_totalprice AS cost, o_orderdate AS created_at FROM orders)"
+QUARTERS = "o AS (SELECT o_orderkey AS id, o_custkey // 10 AS user_id, o_orderstatus || ' ' || o_orderpriority AS query, o_totalprice AS cost, o_orderdate AS created_at FROM orders)"
 PERIOD = "(year(created_at) || '-Q' || quarter(created_at))"
 OLD = f"created_at < TIMESTAMP '{q.AS_OF_QUARTERS}' - INTERVAL 90 DAY"
 PROFILES = """users AS (SELECT c_custkey AS user_id, c_mktsegment AS grade, 'school ' || c_nationkey AS school, c_name AS name FROM customer),
-profiles AS (SELECT c_custkey AS user_id, [c_mktsegment] AS weak, CASE WHEN c_acctbal > 0 THEN ['basics'] END AS mastered, CASE WHEN c_custkey % 2 = 0 THEN 'pass' END AS goals FROM customer WHERE c_custkey % 3 <> 0)"""
+profiles AS (SELECT c_custkey AS user_id, [c_mktsegment] AS weak, CASE WHEN c_acctbal > 5000 THEN ['basics'] END AS mastered, CASE WHEN c_acctbal > 4000 THEN 'pass' END AS goals FROM customer WHERE c_acctbal >= 2000)"""
 
 # scans and filters
 ORACLE_SQL["scan_project_default"] = """SELECT doc_id, substr(text, 1, 30) AS head, CAST(length(text) AS INTEGER) AS n, coalesce(quality, -1) AS quality,
@@ -40,7 +40,7 @@ ORACLE_SQL["scan_project_default"] = """SELECT doc_id, substr(text, 1, 30) AS he
 ORACLE_SQL["filter_eq_range"] = f"""SELECT 'recent' AS part, event_id AS id FROM events WHERE ts >= TIMESTAMP '{q.AS_OF_DAYS}' - INTERVAL 7 DAY AND event_type = 'click'
 UNION ALL SELECT 'month', o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '{q.MONTH}-01' AND o_orderdate < TIMESTAMP '{q.MONTH}-01' + INTERVAL 1 MONTH
 UNION ALL SELECT 'old', o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-06-01' - INTERVAL 90 DAY"""
-ORACLE_SQL["fuzzy_contains"] = f"""WITH t AS (SELECT doc_id, substr(text, 1, 12) AS target FROM documents)
+ORACLE_SQL["fuzzy_contains"] = f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{{L}}{{5,}}')[1] AS target FROM documents)
 SELECT item_id AS query_id, count(*) AS n, min(doc_id) AS first_doc, CAST(sum(doc_id) AS DOUBLE) AS sum_doc FROM benchmark b JOIN t ON {fuzzy("b.text", "t.target")} GROUP BY 1"""
 
 
@@ -56,7 +56,7 @@ ORACLE_SQL["grade_argmax"] = f"SELECT doc_id, {_grade} AS grade FROM documents"
 
 # vectors
 DOT = "round(list_sum([CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE) FOR p IN list_zip({a}, {b})]), 6)"
-ORACLE_SQL["knn_topk"] = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {DOT.format(a="a.embedding", b="b.embedding")} AS score FROM embeddings a JOIN embeddings b ON a.vec_id < {q.KNN_QUERIES} AND b.vec_id >= {q.KNN_QUERIES}),
+ORACLE_SQL["knn_topk"] = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {DOT.format(a="a.embedding", b="b.embedding")} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id IN (SELECT item_id FROM benchmark)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 30"""
 ORACLE_SQL["l2_normalize"] = """WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) * 2 FOR x IN embedding] AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum([x * x FOR x IN e])) AS norm FROM v)
 SELECT vec_id, round(norm, 5) AS norm, round(e[1] / norm, 5) AS first, CAST(1.0 AS DOUBLE) AS unit_norm FROM n"""
@@ -188,7 +188,7 @@ LINES = f"""ln AS (SELECT user_id, string_agg('- [' || strftime(created_at, '%Y-
   FROM h WHERE created_at >= TIMESTAMP '{q.AS_OF_DAYS}' - INTERVAL 30 DAY GROUP BY user_id)"""
 ORACLE_SQL["recent_history_text"] = with_(DAYS, LINES, body=f"SELECT user_id, coalesce(t, '{history.NO_HISTORY}') AS recent_text FROM (SELECT DISTINCT user_id FROM h) LEFT JOIN ln USING (user_id)")
 COMPACT = f"""old AS (SELECT *, {PERIOD} AS period, count(*) OVER (PARTITION BY user_id) AS cnt FROM o WHERE {OLD}),
-rows AS (SELECT * FROM old WHERE cnt >= {history.COMPACT_FROM} AND NOT (user_id % 10 = 0 AND period = '1996-Q1')),
+rows AS (SELECT * FROM old WHERE cnt >= {history.COMPACT_FROM} AND NOT (period = '1996-Q1' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))),
 qt2 AS (SELECT user_id, period, count(*) AS n, string_agg('[' || strftime(created_at, '%Y-%m-%d') || '] ' || query, chr(10) ORDER BY created_at, id) AS src FROM rows GROUP BY ALL),
 made AS (SELECT user_id, period, substr(src, 1, 200) AS summary, n, (length(src) // 4) || ':' || (length(substr(src, 1, 200)) // 4) AS ratio FROM qt2)"""
 STATIC = f"""'[USER_PROFILE]' || chr(10) || 'grade: ' || coalesce(nullif(grade, ''), '{history.NO_GRADE}') || chr(10) || 'weak_topics: [' || coalesce(array_to_string(weak, ', '), '') || ']' || chr(10) || 'mastered_topics: ['
@@ -197,7 +197,7 @@ ORACLE_SQL["static_memory_text"] = with_(
     QUARTERS,
     COMPACT,
     PROFILES,
-    "ar AS (SELECT user_id, string_agg('### ' || period || chr(10) || substr(summary, 1, 20), chr(10) || chr(10) ORDER BY period) AS a FROM made GROUP BY user_id)",
+    "ar AS (SELECT user_id, string_agg('### ' || period || chr(10) || summary, chr(10) || chr(10) ORDER BY period) AS a FROM made GROUP BY user_id)",
     body=f"SELECT user_id, {STATIC} AS static_text FROM users LEFT JOIN profiles USING (user_id) LEFT JOIN ar USING (user_id)",
 )
 ORACLE_SQL["full_memory_text"] = with_(
@@ -217,7 +217,7 @@ ORACLE_SQL["quarter_compaction"] = with_(
     "lf AS (SELECT user_id, count(*) AS n_left FROM o WHERE id NOT IN (SELECT id FROM rows) GROUP BY 1)",
     body="SELECT user_id, n_rows, cost, periods, n_periods, max_ratio, min_summary, coalesce(n_left, 0) AS n_left FROM tot JOIN cn USING (user_id) LEFT JOIN lf USING (user_id)",
 )
-ORACLE_SQL["month_cost"] = f"""SELECT o_custkey AS user_id, round(coalesce(sum(o_totalprice), 0), 2) AS month_cost FROM orders
+ORACLE_SQL["month_cost"] = f"""SELECT o_custkey // 10 AS user_id, round(coalesce(sum(o_totalprice), 0), 2) AS month_cost FROM orders
   WHERE o_orderdate >= TIMESTAMP '{q.MONTH}-01' AND o_orderdate < TIMESTAMP '{q.MONTH}-01' + INTERVAL 1 MONTH GROUP BY 1"""
 ORACLE_SQL["daily_stats"] = """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(DISTINCT user_id) AS active_users, count(*) AS total_queries, round(coalesce(sum(value), 0), 2) AS total_cost FROM events GROUP BY 1"""
 
@@ -225,8 +225,9 @@ ORACLE_SQL["daily_stats"] = """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) A
 ORACLE_SQL["catalog_counts"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in q.ALL_TABLES) + ") WHERE name LIKE '%e%' OR name IN ('part', 'labels')"
 ORACLE_SQL["expected_minus_present"] = """SELECT name FROM (VALUES ('index.parquet'), ('terms.parquet'), ('ids.json'), ('graph.jsonl')) e(name)
   WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('/data/a/index.parquet'), ('/data/b/ids.json')) p(path) WHERE contains(path, name))"""
-ORACLE_SQL["fk_violations"] = """SELECT 'orders->customer' AS reference, o_custkey AS key_value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 5 <> 0)
-  UNION ALL SELECT 'lineitem->orders', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 9 <> 0)"""
+ORACLE_SQL["fk_violations"] = """SELECT 'orders->customer' AS reference, o_custkey AS key_value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
+  UNION ALL SELECT 'lineitem->orders', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'labels->documents', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+  UNION ALL SELECT 'documents->labels', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
 ORACLE_SQL["unique_keys"] = "SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"
 
 # costs and calls
@@ -282,10 +283,10 @@ ORACLE_SQL["unsupported_nodes"] = "SELECT p_partkey AS node_id, p_type AS catego
 ORACLE_SQL["unicode_norm"] = "SELECT doc_id, CAST(length(nfc_normalize(text)) AS INTEGER) AS n, md5(nfc_normalize(text)) AS md5 FROM documents"
 _sys = len(q.SYSTEM) + 2  # an empty profile follows the prompt
 _p1 = cost.PROVIDERS[0]
-ORACLE_SQL["llm_reply_cost"] = f"""WITH u AS (SELECT doc_id AS query_id, chr(10) || chr(10) || substr(text, 1, 200) AS t FROM documents),
+ORACLE_SQL["llm_reply_cost"] = f"""WITH u AS (SELECT doc_id AS query_id, chr(10) || chr(10) || text AS t FROM documents),
 n AS (SELECT query_id, substr(t, 1, 60) AS content, CAST(({_sys} + length(t)) // 4 AS BIGINT) AS input_tokens, CAST(least(length(t), 60) // 4 AS BIGINT) AS output_tokens, CAST({_sys // 4 // 64 * 64} AS BIGINT) AS cache_hit_tokens FROM u)
 SELECT *, round((cache_hit_tokens * {_p1[5]}::DOUBLE + (input_tokens - cache_hit_tokens) * {_p1[4]}::DOUBLE + output_tokens * {_p1[6]}::DOUBLE) / 1000000.0::DOUBLE, 6) AS cost FROM n"""
-ORACLE_SQL["constraint_report"] = """SELECT 'user_profile(user_id)' AS rule, count(*) AS broken FROM (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 10 = 1)
-  UNION ALL SELECT 'query_history.user_id -> users.user_id', count(*) FROM orders WHERE o_orderkey % 50 = 0 AND -o_orderkey NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0"""
+ORACLE_SQL["constraint_report"] = """SELECT 'user_profile(user_id)' AS rule, count(*) AS broken FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0
+  UNION ALL SELECT 'query_history.user_id -> users.user_id', count(*) FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0"""
 ORACLE_SQL["signal_tags"] = """SELECT doc_id, array_to_string([t FOR t IN [CASE WHEN contains(text, 'idiot') OR contains(text, 'moron') THEN 'insult' END, CASE WHEN contains(text, 'license') OR contains(text, 'License') THEN 'licence' END,
   CASE WHEN contains(text, 'token') THEN 'secret' END] IF t IS NOT NULL], ',') AS tags FROM documents"""

@@ -18,7 +18,6 @@ from ..sources import files, sinks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 AS_OF_DAYS, AS_OF_QUARTERS, MONTH = "2024-01-31", "2001-08-01", "1997-12"
-KNN_QUERIES = 20
 JOIN = ","
 
 
@@ -52,8 +51,8 @@ def filter_eq_range(s, d):
 
 @query
 def fuzzy_contains(s, d):
-    """Which benchmark texts fuzzily hold the head of which document."""
-    targets = ad.table(s, d, "documents").select("doc_id", tx.prefix(F.col("text"), 12).alias("target"))
+    """Which benchmark texts fuzzily hold the short title of which document."""
+    targets = ad.chunks(s, d).select(F.col("chunk_id").alias("doc_id"), F.col("short_title").alias("target"))
     pairs = tx.fuzzy_pairs(ad.queries(s, d), targets)
     return pairs.join(targets, "target").groupBy("query_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.sum("doc_id").cast("double").alias("sum_doc"))
 
@@ -70,9 +69,8 @@ def grade_argmax(s, d):
 
 @query
 def knn_topk(s, d):
-    v = ad.vectors(s, d)
-    q = v.where(F.col("pos") < KNN_QUERIES).select(F.col("pos").alias("query_id"), F.col("embedding").alias("vector"))
-    return vector.search(q, v.where(F.col("pos") >= KNN_QUERIES), 30).select("query_id", F.col("pos").alias("vec_id"), "score", "rank")
+    found = vector.search(ad.query_vectors(s, d), ad.vectors(s, d), 30, exclude_self=True)
+    return found.select("query_id", F.col("pos").alias("vec_id"), "score", "rank")
 
 
 @query
@@ -212,7 +210,7 @@ def recent_history_text(s, d):
 
 def _compaction(s, d):
     h = ad.history_quarters(s, d)
-    done = h.where("user_id % 10 = 0").select("user_id", F.lit("1996-Q1").alias("period")).distinct()
+    done = ad.users(s, d).where("grade = 'BUILDING'").select("user_id", F.lit("1996-Q1").alias("period"))
     return history.compact(h, done, AS_OF_QUARTERS)
 
 
@@ -221,7 +219,7 @@ def static_memory_text(s, d):
     made, _, _ = _compaction(s, d)
     u = ad.users(s, d)
     profiled = history.profiles(u.select("user_id"), u, ad.profiles(s, d))
-    return history.static_text(profiled, made.where("length(period) = 7").select("user_id", "period", tx.prefix(F.col("summary"), 20).alias("summary")))
+    return history.static_text(profiled, made.select("user_id", "period", "summary"))
 
 
 @query
@@ -278,9 +276,13 @@ def expected_minus_present(s, d):
 
 @query
 def fk_violations(s, d):
-    o, li, c = ad.table(s, d, "orders"), ad.table(s, d, "lineitem"), ad.table(s, d, "customer")
-    some = c.where("c_custkey % 5 <> 0")
-    return catalog.violations(o, "o_custkey", some, "c_custkey", "orders->customer").unionByName(catalog.violations(li, "l_orderkey", o.where("o_orderkey % 9 <> 0"), "o_orderkey", "lineitem->orders"))
+    """Among references that hold and one that doesn't: not every document is labelled."""
+    refs = [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels", "doc_id", "documents", "doc_id"), ("documents", "doc_id", "labels", "doc_id")]
+    out = None
+    for child, key, parent, parent_key in refs:
+        one = catalog.violations(ad.table(s, d, child), key, ad.table(s, d, parent), parent_key, f"{child}->{parent}")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query
@@ -354,7 +356,7 @@ def context_text(s, d):
 
 @query
 def prompt_build(s, d):
-    docs = ad.table(s, d, "documents").select("doc_id", tx.prefix(F.col("text"), 80).alias("q"), classify.complexity(F.col("text")).alias("complexity"))
+    docs = ad.table(s, d, "documents").select("doc_id", F.col("text").alias("q"), classify.complexity(F.col("text")).alias("complexity"))
     return docs.select("doc_id", fm.prompt(F.col("q"), F.col("complexity"), F.concat(F.lit("related_nodes: ["), F.col("doc_id").cast("string"), F.lit("]"))).alias("prompt"))
 
 
@@ -452,7 +454,7 @@ SYSTEM = "You explain briefly. " * 20
 @query
 def llm_reply_cost(s, d):
     """Messages, the stub client's replies, and their cost."""
-    docs = ad.table(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("").alias("static_text"), F.lit("").alias("recent_text"), tx.prefix(F.col("text"), 200).alias("prompt"))
+    docs = ad.table(s, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("").alias("static_text"), F.lit("").alias("recent_text"), F.col("text").alias("prompt"))
     replies = cost.call(fm.messages(docs, SYSTEM)).withColumn("provider", F.lit("p1")).withColumn("cache_created_tokens", F.lit(0))
     return cost.cost(replies, cost.providers(s)).select("query_id", "content", "input_tokens", "output_tokens", "cache_hit_tokens", "cost")
 
@@ -460,9 +462,10 @@ def llm_reply_cost(s, d):
 @query
 def constraint_report(s, d):
     """Broken keys and references of the application's tables, by the schema registry."""
-    h = ad.history_quarters(s, d).withColumn("user_id", F.when(F.col("id") % 50 == 0, -F.col("id")).otherwise(F.col("user_id")))
-    profile = ad.profiles(s, d)
-    t = {"users": ad.users(s, d), "user_profile": profile.unionByName(profile.where("user_id % 10 = 1")), "query_history": h}
+    # a profile for each order breaks its key, parts that no customer has break the reference
+    profile = ad.table(s, d, "orders").select(F.col("o_custkey").alias("user_id"))
+    asked = ad.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("user_id"))
+    t = {"users": ad.users(s, d), "user_profile": profile, "query_history": asked}
     return catalog.check_constraints(t)
 
 

@@ -74,9 +74,10 @@ def history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a long history; ten customers are one learner, so that learners have enough rows for compaction."""
     o = table(spark, sf_dir, "orders")
     return o.select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.concat(F.col("o_orderstatus"), F.lit(" "), F.col("o_orderpriority")).alias("query"),
+        F.col("o_orderkey").alias("id"), F.expr("o_custkey div 10").alias("user_id"), F.concat(F.col("o_orderstatus"), F.lit(" "), F.col("o_orderpriority")).alias("query"),
         F.col("o_orderpriority").alias("diagnosis_summary"), F.col("o_totalprice").alias("cost"), F.col("o_orderdate").alias("created_at"),
     )
 
@@ -87,11 +88,11 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two users in three have a profile."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0")
+    """Users with some credit have a profile."""
+    c = table(spark, sf_dir, "customer").where("c_acctbal >= 2000")
     return c.select(
-        F.col("c_custkey").alias("user_id"), F.array("c_mktsegment").alias("weak_topics"), F.when(F.col("c_acctbal") > 0, F.array(F.lit("basics"))).alias("mastered_topics"),
-        F.when(F.col("c_custkey") % 2 == 0, F.lit("pass")).alias("learning_goals"),
+        F.col("c_custkey").alias("user_id"), F.array("c_mktsegment").alias("weak_topics"), F.when(F.col("c_acctbal") > 5000, F.array(F.lit("basics"))).alias("mastered_topics"),
+        F.when(F.col("c_acctbal") > 4000, F.lit("pass")).alias("learning_goals"),
     )
 
 
