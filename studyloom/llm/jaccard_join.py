@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, read
+from .common import Scratch, flagged, key_filter, read
 from .hashing import LOWER, NOT_SPACE, groups, mix, word_hashes, words
 
 #: Overlap of at least NUM / DEN of the union, in shingles of SHINGLE words, for the query's contract.
@@ -153,6 +153,7 @@ def _whole_sets(docs: DataFrame, alive: DataFrame, size: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = flagged(rows, key_filter(alive, "rep"), F.col("rep")).where("__may")  # the other texts needn't be shuffled
     return rows.join(alive.select("rep", "s1").hint("shuffle_hash"), "rep").select("rep", "s1", "text").mapInArrow(run, "rep long, n int, tokens array<long>")
 
 
@@ -287,7 +288,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """One document of each component: that of the smallest doc_id; of equal rows one. Rows with null doc_id stay."""
-    found = join(spark, docs, size, num, den)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    chosen = docs.join(first.hint("shuffle_hash"), F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(docs.columns)
-    return chosen.unionByName(docs.where("doc_id IS NULL"))
+    keep = Scratch(spark)
+    found = keep.save(join(spark, docs, size, num, den).select("doc_id", "component_id").where("doc_id IS NOT NULL"), "found")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    repeated = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("n")).where("n > 1").select("__doc")
+    touched = keep.save(gone.withColumn("gone", F.lit(True)).unionByName(repeated.withColumn("gone", F.lit(False))), "touched")
+    # documents that surely stay, once, aren't shuffled
+    split = flagged(docs, key_filter(touched, "__doc"), F.col("doc_id").cast("long"))
+    near = split.where("__may AND doc_id IS NOT NULL").select(*docs.columns)
+    near = near.join(touched.where("gone").hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left_anti").dropDuplicates(docs.columns)
+    return split.where("NOT __may OR doc_id IS NULL").select(*docs.columns).unionByName(near)
