@@ -99,7 +99,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keep.drop("units")
     # inside the earliest document its first occurrence stays
     inside = marked.where("doc_id = first_doc_id").groupBy("d1", "d2").agg(earliest.alias("e")).select("d1", "d2", F.col("e.start").alias("keep_start"))
-    marked = marked.join(inside, ["d1", "d2"]).where("doc_id <> first_doc_id OR start <> keep_start").dropDuplicates(["doc_id", "nr", "start", "d1", "d2"])
+    marked = marked.join(inside, ["d1", "d2"]).where("doc_id <> first_doc_id OR start <> keep_start")
+    # dealt by document before the rest, so that the join's large partitions may be split
+    marked = marked.repartition("doc_id").dropDuplicates(["doc_id", "nr", "start", "d1", "d2"])
     order = W.partitionBy("doc_id").orderBy("nr")
     run = F.sum((F.col("nr") - F.coalesce(F.lag("nr").over(order), F.lit(-2)) > 1).cast("int")).over(order)
     spans = marked.withColumn("run", run).groupBy("doc_id", "run").agg(
@@ -109,18 +111,18 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without the spans in text; removed: array of (start, end) in the original text."""
-    gone = spans.groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed"))
+    """docs without the spans in text; removed (which replaces a column of that name): array of (start, end) in the original text."""
+    gone = spans.groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__gone"))
     joined = docs.join(gone, F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    n = F.size("removed")
+    n = F.size("__gone")
 
     def piece(i: Column) -> Column:
-        begin = F.coalesce(F.get("removed", i - 1)["end"], F.lit(0))
-        end = F.coalesce(F.get("removed", i)["start"], F.length("text"))
+        begin = F.coalesce(F.get("__gone", i - 1)["end"], F.lit(0))
+        end = F.coalesce(F.get("__gone", i)["start"], F.length("text"))
         return F.substring("text", begin + 1, end - begin)
 
     text = F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n), piece), "")).otherwise(F.col("text"))
-    return joined.withColumn("text", text)
+    return joined.withColumn("text", text).withColumn("removed", F.col("__gone")).drop("__gone")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
