@@ -12,35 +12,46 @@ from ..functions.text import fuzzy_pairs
 POINTS = {"topic": 50, "pattern": 30, "near_topic": 20, "near_pattern": 15}
 
 
-def matched_nodes(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, node_id): the query resembles the node's id, or a cause or symptom of its failures."""
+def node_aims(nodes: DataFrame) -> DataFrame:
+    """(node_id, target): a node's id, and the causes and symptoms of its failures."""
     failures = nodes.select("node_id", F.explode("common_failures").alias("f"))
     aims = nodes.select("node_id", F.col("node_id").alias("target")).union(failures.select("node_id", "f.cause")).union(failures.select("node_id", "f.symptom"))
-    aims = aims.where("target <> ''").distinct()
-    return fuzzy_pairs(queries, aims).join(aims, "target").select("query_id", "node_id").distinct()
+    return aims.where("target <> ''").distinct()
 
 
-def matched_patterns(queries: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(query_id, pattern_id): the query resembles the pattern's id or a variant's name."""
+def pattern_aims(patterns: DataFrame) -> DataFrame:
+    """(pattern_id, target): a pattern's id and its variants' names."""
     variants = patterns.select("pattern_id", F.explode("question_variants").alias("v")).select("pattern_id", "v.variant_name")
-    aims = patterns.select("pattern_id", F.col("pattern_id").alias("target")).union(variants).where("target <> ''").distinct()
-    return fuzzy_pairs(queries, aims).join(aims, "target").select("query_id", "pattern_id").distinct()
+    return patterns.select("pattern_id", F.col("pattern_id").alias("target")).union(variants).where("target <> ''").distinct()
+
+
+def matched(queries: DataFrame, aims: DataFrame, key: str) -> DataFrame:
+    """(query_id, key): the query resembles one of the key's targets."""
+    return fuzzy_pairs(queries, aims).join(aims, "target").select("query_id", key).distinct()
 
 
 def search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, patterns: DataFrame, k: int = 30) -> DataFrame:
-    """(query_id, chunk_id, score (hundredths), rank, channel). A tag counts as often as a chunk holds it; ties by chunk_id."""
+    """(query_id, chunk_id, score (hundredths), rank, channel). A tag counts as often as a chunk holds it; ties by chunk_id.
+
+    All targets (tags, ids, causes, symptoms, variant names) are compared with the queries in one join.
+    """
     tags = None
     for kind, column in (("topic", "topics"), ("pattern", "patterns")):
         own = chunks.select("chunk_id", F.lit(kind).alias("kind"), F.explode(column).alias("tag"))
         tags = own if tags is None else tags.unionByName(own)
     tags = tags.groupBy("kind", "tag", "chunk_id").agg(F.count("*").alias("times"))
-    near = fuzzy_pairs(queries, tags.select(F.col("tag").alias("target")))
+    of_nodes, of_patterns = node_aims(nodes), pattern_aims(patterns)
+    near = fuzzy_pairs(queries, tags.select(F.col("tag").alias("target")).union(of_nodes.select("target")).union(of_patterns.select("target")))
+
+    def points(rows: DataFrame, kind: str, tag: str, name: str) -> DataFrame:
+        return rows.select("query_id", F.lit(kind).alias("kind"), F.col(tag).alias("tag"), F.lit(POINTS[name]).alias("points"))
+
     worth = (
-        matched_nodes(queries, nodes).select("query_id", F.lit("topic").alias("kind"), F.col("node_id").alias("tag"), F.lit(POINTS["topic"]).alias("points"))
-        .unionByName(matched_patterns(queries, patterns).select("query_id", F.lit("pattern").alias("kind"), F.col("pattern_id").alias("tag"), F.lit(POINTS["pattern"]).alias("points")))
-        .unionByName(near.select("query_id", F.lit("topic").alias("kind"), F.col("target").alias("tag"), F.lit(POINTS["near_topic"]).alias("points")))
-        .unionByName(near.select("query_id", F.lit("pattern").alias("kind"), F.col("target").alias("tag"), F.lit(POINTS["near_pattern"]).alias("points")))
-    )
+        points(near.join(of_nodes, "target").select("query_id", "node_id").distinct(), "topic", "node_id", "topic")
+        .unionByName(points(near.join(of_patterns, "target").select("query_id", "pattern_id").distinct(), "pattern", "pattern_id", "pattern"))
+        .unionByName(points(near, "topic", "target", "near_topic"))
+        .unionByName(points(near, "pattern", "target", "near_pattern"))
+    )
     worth = worth.groupBy("query_id", "kind", "tag").agg(F.sum("points").alias("points"))
     scored = worth.join(tags, ["kind", "tag"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))

@@ -109,6 +109,12 @@ def test_tags_count_repeats(spark):
     assert [tuple(r) for r in tags.search(q, chunks, nodes, patterns).select("query_id", "chunk_id", "score", "rank").collect()] == [(1, 1, 2 * 50 + 30 + 2 * 20 + 15, 1)]
 
 
+def test_matched_aims(spark):
+    nodes = spark.createDataFrame([("n1", [("wrong sign", "minus lost")]), ("n2", [])], "node_id string, common_failures array<struct<cause:string,symptom:string>>")
+    q = spark.createDataFrame([(1, "a wrong sign"), (2, "zz")], "query_id long, text string")
+    assert [tuple(r) for r in tags.matched(q, tags.node_aims(nodes), "node_id").collect()] == [(1, "n1")]
+
+
 def test_classify(spark):
     texts = ["", "x" * 19, "x" * 20, "x" * 21, "what is it", "prove what is it", "wrong, prove what is it", "🙂" * 19]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(classify.complexity(F.col("t")), classify.grade(F.col("t")))
