@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
+_roots: list[str] = []
+
+
+@atexit.register
+def _clear() -> None:
+    """Results may be read lazily, so the tables live as long as the program."""
+    context = SparkContext._active_spark_context
+    if context is not None and _roots:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            for root in _roots:
+                path = context._jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Intermediate tables in the shared folder.
+    """Intermediate tables in the shared folder, cleared at the program's end.
 
     ``save`` cuts lineage by a written table: a lost executor costs a reread, not a
     recomputation. ``drop`` removes tables that later steps no longer read.
@@ -37,6 +54,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/studyloom-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
