@@ -99,8 +99,9 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keep.drop("units")
     # inside the earliest document its first occurrence stays
     inside = marked.where("doc_id = first_doc_id").groupBy("d1", "d2").agg(earliest.alias("e")).select("d1", "d2", F.col("e.start").alias("keep_start"))
+    inside = keep.save(inside, "inside")  # a plain table on this side lets the join split a digest that very many hold
     marked = marked.join(inside, ["d1", "d2"]).where("doc_id <> first_doc_id OR start <> keep_start")
-    # dealt by document before the rest, so that the join's large partitions may be split
+    # dealt by document before the rest, for the same reason
     marked = marked.repartition("doc_id").dropDuplicates(["doc_id", "nr", "start", "d1", "d2"])
     order = W.partitionBy("doc_id").orderBy("nr")
     run = F.sum((F.col("nr") - F.coalesce(F.lag("nr").over(order), F.lit(-2)) > 1).cast("int")).over(order)
