@@ -46,19 +46,43 @@ def normalized(df: DataFrame, column: str = "text", form: str = "NFKC") -> DataF
     return df.withColumn(column, F.pandas_udf(norm, "string")(F.col(column)))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """df computed once: in ``spark.checkpoint.dir`` where that is set, else by the executors."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that links (doc_a, doc_b) reach from each node that has one."""
+    both = _settled(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(links.select("doc_b", "doc_a")).distinct())
+    labels = _settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    while True:
+        # the smallest label around, and that label's own
+        seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        hop = labels.select(F.col("node").alias("least"), F.col("component").alias("beyond"))
+        new = labels.join(seen, "node").withColumn("least", F.least("component", "near")).join(hop, "least", "left")
+        new = _settled(new.select("node", F.least("least", "beyond").alias("component"), F.col("component").alias("was")))
+        labels = new.select("node", "component")
+        if new.where("component <> was").isEmpty():
+            return labels
+
+
 def minhash_pairs(docs: DataFrame, words: int = 5, bands: int = 24, rows: int = 4, threshold: float = 0.8) -> DataFrame:
-    """(doc_a, doc_b, similarity): near-duplicate links by MinHash bands, between one document of each class of equal shingle sets and
-    the members of its buckets.
+    """(doc_a, doc_b, similarity, component_id): near-duplicate links by MinHash bands, and the smallest doc_id that links reach from both.
 
-    A bucket gives a link from each member to its smallest, not all pairs, so a large bucket stays linear; bands and verified links
-    connect the rest. similarity is exact, and at least threshold.
+    Documents of equal shingle sets are one class; its smallest doc_id has a link to each other, with similarity 1. Between classes,
+    those that share a bucket are compared: first with two members of the bucket, its smallest and the one of the smallest hash, which
+    is linear in its size and joins most of a group of near copies, then all pairs that are still in different components. So links
+    inside a component need not all be rows, but components are those of all pairs that share a bucket, and each document that is
+    linked with another has a row. similarity is exact, and at least threshold.
     """
     tokens = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
-    base = docs.select("doc_id", tokens.alias("w")).where(F.size("w") > 0)
+    base = docs.select("doc_id", tokens.alias("w")).where("doc_id IS NOT NULL").where(F.size("w") > 0)
     n = F.greatest(F.size("w") - words + 1, F.lit(1))
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice("w", i, F.lit(words)))))
-    sets = base.select("doc_id", F.array_sort(shingles).alias("s"))
-    classes = sets.groupBy(F.xxhash64("s").alias("__class")).agg(F.min(F.struct("doc_id", "s")).alias("m")).select("m.doc_id", "m.s")
+    sets = _settled(base.select("doc_id", F.array_sort(shingles).alias("s")).withColumn("class", F.xxhash64("s")))
+    classes = _settled(sets.groupBy("class").agg(F.min(F.struct("doc_id", "s")).alias("m")).select("class", "m.doc_id", "m.s"))
+    copies = sets.select("class", F.col("doc_id").alias("doc_b")).join(classes.select("class", F.col("doc_id").alias("doc_a")), "class")
+    copies = copies.where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("similarity")).distinct()
 
     def least(seed: int) -> Column:
         return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
@@ -66,9 +90,22 @@ def minhash_pairs(docs: DataFrame, words: int = 5, bands: int = 24, rows: int =
     hashes = [least(k) for k in range(bands * rows)]
     keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*hashes[b * rows : (b + 1) * rows]).alias("key")) for b in range(bands)])
     banded = classes.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.key")
-    heads = banded.groupBy("band", "key").agg(F.min("doc_id").alias("doc_a"), F.count("*").alias("n")).where("n > 1")
-    pairs = heads.join(banded, ["band", "key"]).where("doc_id > doc_a").select("doc_a", F.col("doc_id").alias("doc_b")).distinct()
     a, b = classes.select(F.col("doc_id").alias("doc_a"), F.col("s").alias("sa")), classes.select(F.col("doc_id").alias("doc_b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = common / (F.size("sa") + F.size("sb") - common)
-    return pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", F.round(similarity, 6).alias("similarity")).where(F.col("similarity") >= threshold)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", similarity.alias("similarity"))
+        return _settled(both.where(F.col("similarity") >= threshold).withColumn("similarity", F.round("similarity", 6)))
+
+    buckets = banded.groupBy("band", "key").agg(F.min("doc_id").alias("one"), F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), "doc_id")).alias("two"), F.count("*").alias("n")).where("n > 1")
+    banded = _settled(banded.join(buckets, ["band", "key"]))
+    star = banded.select("doc_id", F.explode(F.array("one", "two")).alias("pivot")).where("doc_id <> pivot")
+    links = verified(star.select(F.least("doc_id", "pivot").alias("doc_a"), F.greatest("doc_id", "pivot").alias("doc_b")).distinct())
+
+    parts = components(links).withColumnRenamed("node", "doc_id")
+    open_ = banded.select("band", "key", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    x, y = (open_.select("band", "key", F.col("doc_id").alias(f"doc_{s}"), F.col("component").alias(f"part_{s}")) for s in "ab")
+    left = x.join(y, ["band", "key"]).where("part_a <> part_b AND doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    links = _settled(links.unionByName(verified(left)).unionByName(copies))
+    return links.join(components(links).select(F.col("node").alias("doc_a"), F.col("component").alias("component_id")), "doc_a").select("doc_a", "doc_b", "similarity", "component_id")

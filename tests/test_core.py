@@ -259,6 +259,31 @@ def test_minhash_finds_copies(spark):
     assert [(r.doc_a, r.doc_b) for r in got] == [(1, 2)] and got[0].similarity > 0.9
 
 
+def test_minhash_components_are_whole(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(400)]
+
+    def drifted(changes):
+        own = list(base)
+        for at in rng.choice(400, changes, replace=False):
+            own[at] = f"own{rng.integers(1 << 40)}"
+        return " ".join(own)
+
+    # the smallest ids are too far from all others; the last is an exact copy
+    rows = [(i, drifted(25 if i < 10 else 3)) for i in range(60)]
+    rows += [(60, rows[59][1]), (None, base[0])]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(396)} for i, t in rows if i is not None}
+    near = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+    got = prep.minhash_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {x: r.component_id for r in got for x in (r.doc_a, r.doc_b)}
+    assert found == {i: label[i] for p in near for i in p} and len(found) >= 51
+    assert {(r.doc_a, r.doc_b) for r in got} <= near and (59, 60, 1.0) in {tuple(r)[:3] for r in got}
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(i, i % 3, 1.5, dt.datetime(2024, 1, 1 + i % 5, i % 24)) for i in range(60)]
     schema = "id long, user_id long, cost double, created_at timestamp"
