@@ -1,18 +1,23 @@
 """Line dedup by content-defined line chunks, in DataFrame functions only.
 
-Every line has a hash; a rolling hash over the last ``WINDOW`` line hashes ends a chunk where it
-is divisible by ``AVERAGE``, so borders depend on nearby lines only and survive insertions
-elsewhere. Chunks of several lines are grouped by digest over the whole corpus. Where a digest
+Only lines with a word count. Two that follow each other are a pair, known by the hashes of both
+and the lines between. Pairs that occur once in the corpus are borders, so a passage that
+documents share, of two lines or more, is a run of its own wherever it stands. A pair that is
+rarer than a neighbour in its run is a border too, so a passage that is part of a longer one is cut
+out of it; and inside long runs a hash of the pair that is divisible by ``AVERAGE`` is one, at least
+``LEAST_LINES`` lines from the run's ends, so that runs that share a part only have equal chunks.
+Chunks are grouped by digest over the whole corpus. Where a digest
 occurs more than once the chunks' bytes are compared: occurrences are grouped by the text
 itself. The occurrence in the smallest doc_id, and there the first, stays; the others are removed.
 
-Only digests, not texts, are grouped for all chunks; texts move where a digest repeats, behind a
-bitmap of bounded size, and whole documents only where something is removed. Counts are aggregated
-before each shuffle, so a chunk that a third of all documents hold is a row a task.
+Only hashes of pairs, not texts, are grouped for all lines; texts move where a pair repeats, behind
+a bitmap of bounded size, and whole documents only where a pair repeats. Counts are aggregated
+before each shuffle, so a pair that a third of all documents hold is a row a task.
 
-Cases: null text counts as empty; a text without a chunk of several lines stays as it is;
+Cases: null text counts as empty; a text without a repeated pair of lines stays as it is;
 lines are separated by newline only and keep their other bytes; chunks need ``LEAST_LINES``
-lines with a word, so blank lines are never removed for themselves; rows that share a doc_id are
+lines with a word, so blank lines are never removed for themselves, and a repeated line between
+lines that don't repeat with it stays; rows that share a doc_id are
 one document when the first holder is sought, so a chunk stays in each row of the smallest doc_id;
 rows with null doc_id stay as they are and lend nothing; an empty table gives no rows; other columns pass
 through whatever their names.
@@ -25,33 +30,97 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, flagged, key_filter, read
 
-WINDOW, AVERAGE, LEAST_LINES = 2, 3, 2
+AVERAGE, LEAST_LINES = 3, 2
 
+#: Characters that a blank line may hold.
+BLANK = " \t\x0b\f\r"
 
-def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with __lines and __chunks: array of (first, n, digest), digest null unless the chunk may be removed."""
+
+def _lined(docs: DataFrame, text: str) -> DataFrame:
+    """docs with __lines and __at: numbers of the lines with a word."""
     step = docs.withColumn("__lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-    step = step.withColumn("__hashes", F.transform("__lines", lambda x: F.xxhash64(x)))
+    return step.withColumn("__at", F.filter(F.transform("__lines", lambda x, i: F.when(F.btrim(x, F.lit(BLANK)) != "", i)), lambda i: i.isNotNull()))
+
+
+def _pairs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """__doc, __of (text hash), k, pair: hash of the lines k and k + 1 with a word and their distance, of each document."""
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__doc"), F.xxhash64(text).alias("__of"), F.col(text).alias("__text"))
+    own = _lined(own, "__text").withColumn("__hashes", F.transform("__at", lambda i: F.xxhash64(F.get("__lines", i))))
+
+    def pair(i: Column, k: Column) -> Column:
+        return F.xxhash64(F.get("__hashes", k), F.get("__hashes", k + 1), F.get("__at", k + 1) - i)
+
+    of_two = F.transform(F.expr("slice(__at, 1, greatest(size(__at) - 1, 0))"), pair)
+    return own.select("__doc", "__of", F.posexplode(of_two).alias("k", "pair"))
+
+
+def marks(docs: DataFrame, keep: Scratch | None = None) -> DataFrame:
+    """__doc, __of, __marks: by document the sorted (k, n, pair) of its pairs that occur n > 1 times in the corpus."""
+    pairs = _pairs(docs)
+    again = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
+    if keep:
+        again = keep.save(again, "again")
+        pairs = flagged(pairs, key_filter(again, "pair"), F.col("pair")).where("__may").drop("__may")
+    held = pairs.join(again.hint("shuffle_hash"), "pair").groupBy("__doc", "__of")
+    return held.agg(F.sort_array(F.collect_set(F.struct("k", "n", "pair"))).alias("__marks"))
+
 
-    def ends(h: Column, i: Column) -> Column:
-        rolling = F.xxhash64(*[F.coalesce(F.get("__hashes", i - k), F.lit(0)) for k in range(WINDOW)])
-        return (F.pmod(rolling, F.lit(AVERAGE)) == 0) | (i == F.size("__lines") - 1)
+def _cut(docs: DataFrame, text: str) -> DataFrame:
+    """docs (with __marks) with __lines and __chunks: array of (first, n, digest), digest null unless the chunk may be removed."""
+    step = _lined(docs, text)
 
-    last = F.transform(F.filter(F.transform("__hashes", lambda h, i: F.when(ends(h, i), i)), lambda x: x.isNotNull()), lambda x: x)
-    step = step.withColumn("__last", last)
+    def near(name: str, j: Column, d: int) -> Column:
+        """The mark before or after, null unless it is of the adjoining pair."""
+        other = F.when(j + d >= 0, F.get(name, j + d))
+        return F.when(other["k"] == F.get(name, j)["k"] + d, other)
 
-    def chunk(end: Column, k: Column) -> Column:
-        first = F.coalesce(F.get("__last", k - 1) + 1, F.lit(0))
-        n = end - first + 1
-        wordy = F.size(F.filter(F.slice("__lines", first + 1, n), lambda x: F.btrim(x, F.lit(" \t\x0b\f\r")) != ""))
-        digest = F.when(wordy >= LEAST_LINES, F.xxhash64(F.slice("__hashes", first + 1, n)))
-        return F.struct(first.alias("first"), n.alias("n"), digest.alias("digest"))
+    def common(m: Column, j: Column) -> Column:
+        most = F.greatest(near("__marks", j, -1)["n"], near("__marks", j, 1)["n"])
+        return F.coalesce(most, F.lit(0)) <= m["n"]
 
-    return step.withColumn("__chunks", F.transform("__last", chunk)).drop("__hashes", "__last")
+    step = step.withColumn("__marks", F.coalesce("__marks", F.expr("cast(array() as array<struct<k:int,n:bigint,pair:bigint>>)")))
+    step = step.withColumn("__inner", F.filter("__marks", common))
 
+    def hit(m: Column) -> Column:
+        return F.pmod(F.xxhash64(m["pair"]), F.lit(AVERAGE)) == 0
 
-def _text(c: Column) -> Column:
-    return F.array_join(F.slice("__lines", c["first"] + 1, c["n"]), "\n")
+    def kind(m: Column, j: Column) -> Column:
+        before, after = near("__inner", j, -1), near("__inner", j, 1)
+        inside = before.isNotNull() & after.isNotNull() & hit(m) & ~F.coalesce(hit(before), F.lit(False))
+        # line numbers of the run's or chunk's first and last line
+        first = F.when(before.isNull(), F.get("__at", m["k"])).when(inside, F.get("__at", m["k"] + 1))
+        last = F.when(after.isNull(), F.get("__at", m["k"] + 1)).when(inside, F.get("__at", m["k"]))
+        return F.struct(first.alias("first"), last.alias("last"))
+
+    step = step.withColumn("__ends", F.transform("__inner", kind))
+    step = step.withColumn("__firsts", F.filter(F.transform("__ends", lambda e: e["first"]), lambda x: x.isNotNull()))
+    step = step.withColumn("__lasts", F.filter(F.transform("__ends", lambda e: e["last"]), lambda x: x.isNotNull()))
+
+    # the lines between runs are chunks too
+    def span(first: Column, end: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), (end - first).cast("int").alias("n"))
+
+    def since(j: Column) -> Column:
+        return F.when(j > 0, F.get("__lasts", j - 1) + 1).otherwise(0)
+
+    inner = F.flatten(F.transform("__firsts", lambda f, j: F.array(span(since(j), f), span(f, F.get("__lasts", j) + 1))))
+    tail = span(since(F.size("__firsts")), F.size("__lines"))
+    step = step.withColumn("__spans", F.filter(F.concat(inner, F.array(tail)), lambda c: c["n"] > 0))
+
+    def chunk(c: Column) -> Column:
+        lines = F.slice("__lines", c["first"] + 1, c["n"])
+        wordy = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANK)) != ""))
+        return F.struct(c["first"].alias("first"), c["n"].alias("n"), F.when(wordy >= LEAST_LINES, F.xxhash64(lines)).alias("digest"))
+
+    step = step.withColumn("__chunks", F.transform("__spans", chunk))
+    return step.drop("__marks", "__inner", "__ends", "__firsts", "__lasts", "__spans", "__at")
+
+
+def chunked(docs: DataFrame) -> DataFrame:
+    """docs with __lines and __chunks: array of (first, n, digest), digest null unless the chunk may be removed."""
+    found = marks(docs)
+    both = docs.join(found, (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__of")), "left").drop("__doc", "__of")
+    return _cut(both, "text")
 
 
 def _place(c: Column) -> Column:
@@ -60,37 +129,43 @@ def _place(c: Column) -> Column:
 
 
 def removals(docs: DataFrame, keep: Scratch) -> DataFrame:
-    """__doc, __of, __removed: by document (doc_id and text hash) the places of its chunks that go."""
-    own = docs.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__of"), F.col("text").alias("__text")).where("__doc IS NOT NULL")
-    cut = chunked(own, "__text")
-    eligible = F.filter("__chunks", lambda c: c["digest"].isNotNull())
-    digests = cut.select(F.explode(F.transform(eligible, lambda c: c["digest"])).alias("digest"))
-    again = keep.save(digests.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "again")
-    rows = F.transform(eligible, lambda c: F.struct(_place(c).alias("place"), c["digest"].alias("digest"), _text(c).alias("bytes")))
-    texts = cut.select("__doc", "__of", F.explode(rows).alias("c")).select("__doc", "__of", "c.*")
-    texts = flagged(texts, key_filter(again, "digest"), F.col("digest")).where("__may").drop("__may")
-    texts = keep.save(texts.join(again.hint("shuffle_hash"), "digest", "left_semi"), "texts")
+    """__doc, __of, __chunks, __removed: by document with a repeated pair (doc_id and text hash) the places of its chunks, and of those that go."""
+    found = keep.save(marks(docs, keep), "marks")
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    own = flagged(own, key_filter(found, "__doc"), F.col("__id")).where("__may")
+    own = own.join(found.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__of"))).select("__doc", "__of", "__text", "__marks")
+    text = F.transform("__chunks", lambda c: F.struct(_place(c).alias("place"), c["digest"].alias("digest"), F.when(c["digest"].isNotNull(), F.array_join(F.slice("__lines", c["first"] + 1, c["n"]), "\n")).alias("bytes")))
+    cut = keep.save(_cut(own, "__text").select("__doc", "__of", text.alias("__chunks")), "cut")
+    keep.drop("again")
+    rows = cut.select("__doc", "__of", F.explode("__chunks").alias("c")).select("__doc", "__of", "c.*").where("digest IS NOT NULL")
+    twice = keep.save(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
+    texts = flagged(rows, key_filter(twice, "digest"), F.col("digest")).where("__may").drop("__may")
+    texts = keep.save(texts.join(twice.hint("shuffle_hash"), "digest", "left_semi"), "texts")
     same = texts.groupBy("digest", "bytes").agg(F.min("__doc").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
     held = texts.join(same, ["digest", "bytes"]).groupBy("digest", "bytes", "keeper", "__doc", "__of").agg(F.sort_array(F.collect_set("place")).alias("places"))
     # the keeper's first occurrence stays
     gone = held.select("__doc", "__of", F.explode(F.when(F.col("keeper") == F.col("__doc"), F.expr("slice(places, 2, size(places))")).otherwise(F.col("places"))).alias("place"))
-    return gone.groupBy("__doc", "__of").agg(F.collect_set("place").alias("__removed"))
+    gone = gone.groupBy("__doc", "__of").agg(F.collect_set("place").alias("__removed"))
+    places = cut.select("__doc", "__of", F.transform("__chunks", lambda c: c["place"]).alias("__chunks")).distinct()
+    return places.join(gone, ["__doc", "__of"], "left")
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without repeated chunks in text; __removed: places (first line * 2**32 + lines) of the chunks that went; __n_lines, __n_chunks."""
     keep = Scratch(spark)
     gone = keep.save(removals(docs, keep), "gone")
-    keep.drop("texts", "again")
-    # texts that surely keep all their chunks aren't shuffled
+    keep.drop("texts", "twice", "cut", "marks")
+    # texts without a repeated pair, one chunk each, aren't shuffled
     split = flagged(docs, key_filter(gone, "__doc"), F.col("doc_id"))
     changed = split.where("__may").drop("__may").join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__of")), "left")
-    changed = changed.select(*docs.columns, "__removed").unionByName(split.where("NOT __may").select(*docs.columns, F.lit(None).cast("array<bigint>").alias("__removed")))
-    joined = chunked(changed).withColumn("__removed", F.coalesce("__removed", F.expr("cast(array() as array<bigint>)")))
-    kept = F.array_except(F.transform("__chunks", _place), F.col("__removed"))
+    none = F.lit(None).cast("array<bigint>")
+    changed = changed.select(*docs.columns, "__chunks", "__removed").unionByName(split.where("NOT __may").select(*docs.columns, none.alias("__chunks"), none.alias("__removed")))
+    joined = changed.withColumn("__removed", F.coalesce("__removed", F.expr("cast(array() as array<bigint>)")))
+    joined = joined.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("__n_chunks", F.when(F.col("__chunks").isNull(), 1).otherwise(F.size("__chunks")))
+    kept = F.array_except("__chunks", F.col("__removed"))
     lines = F.transform(kept, lambda p: F.array_join(F.slice("__lines", F.shiftright(p, 32).cast("int") + 1, p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")), "\n"))
     text = F.when(F.size("__removed") == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.withColumn("__n_lines", F.size("__lines")).withColumn("__n_chunks", F.size("__chunks")).withColumn("text", text)
+    out = joined.withColumn("__n_lines", F.size("__lines")).withColumn("text", text)
     return out.select(*docs.columns, "__n_lines", "__n_chunks", "__removed")
 
 

@@ -252,6 +252,30 @@ def test_line_dedup_borders_survive_insertions(spark):
     assert len(one) > 20 and len(one & two) >= len(one) - 2
 
 
+def test_line_dedup_removes_short_passages(spark):
+    """Share of lines of planted passages of 3, 5, 8 and 10 lines between foreign lines, also with blank lines between, that goes."""
+    rng = np.random.default_rng(12)
+    own = iter(range(10**9))
+
+    def lines(n):
+        return [f"line {next(own)} of words {rng.integers(1 << 40)}" for _ in range(n)]
+
+    texts, want = [], []
+    for n in (3, 5, 8, 10):
+        for k in range(40):
+            sep = "\n\n" if k % 2 else "\n"
+            passage = lines(n)
+            want.append(sep.join(passage))
+            texts += [sep.join([*lines(3), *passage, *lines(3)]) for _ in range(2)]
+    part = lines(12)  # a part of a longer passage
+    texts += ["\n".join(lines(2) + p + lines(2)) for p in (part, part, part[4:7])]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark, docs(spark, texts)).collect()}
+    assert all(got[2 * i] == texts[2 * i] for i in range(160))
+    lost = [all(x not in got[2 * i + 1] for x in p.split("\n") if x) for i, p in enumerate(want)]
+    assert sum(lost) == 160
+    assert got[320] == texts[320] and not any(x in got[321] for x in part) and not any(x in got[322] for x in part[4:7])
+
+
 # op6
 def brute_components(texts, size, num, den):
     sets = {}
