@@ -3,7 +3,9 @@
 Markup is stripped into lines, one per block of text. What can't be article text (scripts,
 styles, forms, navigation, page headers and footers, sidebars, notices, adverts, reader
 comments, lines made of links) leaves empty lines, at least as many as a window is long.
-Where a page marks its article or main part, all else leaves empty lines too.
+Where a page marks its article or main part, all else leaves empty lines too, unless a run of text
+outside is longer than all that is marked: then the marks are of teasers or the like, and don't count.
+Articles of comments or related pages, by their own class or what they stand in, aren't marks.
 
 For each line the text lengths of a window of ``WINDOW`` lines from there are summed. A surge
 is a line whose window rises from nothing; a dive is where the window's sum falls back to
@@ -48,6 +50,8 @@ FURNITURE = {
     "navigation", "newsletter", "notice", "notices", "notification", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies",
     "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets",
 }
+#: Names of what holds other texts than the article, so that an article element inside isn't the page's.
+OTHERS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "commentlist", "comments", "discussion", "disqus", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "sponsor", "sponsored"}
 #: First parts of class names that tell of the page, not of the element.
 STATES = {"has", "with", "no", "is", "not", "without"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
@@ -70,6 +74,13 @@ def _is_furniture(attributes: str) -> bool:
     return bool(HIDDEN.search(attributes))
 
 
+def _holds_others(attributes: str) -> bool:
+    """Comments, related pages, adverts: whatever is marked inside isn't the page's article."""
+    values = [v for key, *vs in NAMED.findall(attributes) if key.lower() != "role" for v in "".join(vs).lower().split()]
+    parts = [re.split(r"[^a-z]+", v) for v in values]
+    return any((p[0] in OTHERS or p[-1] in OTHERS) and p[0] not in STATES for p in parts) or bool(HIDDEN.search(attributes))
+
+
 def lines_of(html: str) -> tuple[list[str], list[bool]]:
     """Lines of the stripped page, and which lie in a marked article."""
     lines: list[str] = []
@@ -78,7 +89,8 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
     linked = 0  # characters of the line inside links
     in_link = in_main = 0
     skip: list[str] = []  # open elements since, and with, the one whose text is left out
-    soft = False  # left out by its class or id only
+    others = 0  # place in skip, from 1, of an element inside it that holds other texts
+    soft = False  # left out by its class or id only, which may be those of a frame around the article
     at, end = 0, len(html)
 
     def close_line() -> None:
@@ -120,24 +132,28 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
                 at = stop.end() if stop else end
             continue
         if skip:
-            if name in MAIN and not closing and soft:
+            if name in MAIN and not closing and soft and not others and not _holds_others(attributes):
                 skip.clear()  # what holds an article isn't furniture
             elif closing:
                 if name in skip:
                     while skip.pop() != name:
                         pass
+                    if len(skip) < others:
+                        others = 0
                 continue
             elif skip == ["p"] and name not in INLINE and name not in VOID:
                 skip.clear()  # a paragraph ends where a block begins
             else:
                 if name not in VOID and (name not in INLINE or name in skip) and not attributes.endswith("/"):
                     skip.append(name)
+                    if not others and bool(attributes) and _holds_others(attributes):
+                        others = len(skip)
                 continue
         if name == "a":
             in_link = 0 if closing else 1
         if name in INLINE and (closing or not attributes or name == "a"):
             continue
-        leave = not closing and (name in NEVER or name not in MAIN and name not in ("html", "body") and name not in VOID and name != "h1" and bool(attributes) and _is_furniture(attributes))
+        leave = not closing and (name in NEVER or name in MAIN and _holds_others(attributes) or name not in MAIN and name not in ("html", "body") and name not in VOID and name != "h1" and bool(attributes) and _is_furniture(attributes))
         if name in INLINE and not leave:
             continue
         if leave and in_link and name in INLINE:
@@ -145,7 +161,7 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
         close_line()
         if leave:
             gap()
-            skip, soft = [name], name not in NEVER
+            skip, others, soft = [name], 0, name not in NEVER and not _holds_others(attributes)
         elif name in MAIN:
             if closing:
                 in_main = max(0, in_main - 1)
@@ -160,7 +176,11 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     lines, marked = lines_of(html)
-    within = any(marked)
+    longest = run = 0
+    for x, m in zip(lines, marked, strict=True):
+        run = run + len(x) if x and not m else 0
+        longest = max(longest, run)
+    within = any(marked) and sum(len(x) for x, m in zip(lines, marked, strict=True) if m) >= longest
     if within:
         lines = [x if m else "" for x, m in zip(lines, marked, strict=True)]
     lengths = [len(x) for x in lines]

@@ -159,6 +159,23 @@ def test_html_on_pages(spark, sf001):
         assert r.text == "\n".join(x for x in blocks if x)
 
 
+TEXT = "".join(f"<p>Paragraph {i} of the article, with enough words in it to be a paragraph of its own.</p>" for i in range(5))
+PLAIN = "\n".join(f"Paragraph {i} of the article, with enough words in it to be a paragraph of its own." for i in range(5))
+
+
+def test_html_articles_that_are_not_the_text():
+    comments = "<section id=comments><article class=comment><p>Great text, thanks a lot for this!</p></article><article><p>I disagree with all of this.</p></article></section>"
+    teasers = "<div class=related><article><p>Another story that you may like to read.</p></article></div>"
+    cards = "<div class=grid><article><p>Another story of the day.</p></article><hr></div>"
+    for around in (comments, teasers, comments + teasers):
+        assert html_extract.main_text(f"<body><div class=content>{TEXT}</div>{around}</body>") == PLAIN
+        assert html_extract.main_text(f"<body><article>{TEXT}</article>{around}</body>") == PLAIN
+        assert html_extract.main_text(f"<body><main>{TEXT}{around}</main></body>") == PLAIN
+    assert PLAIN in html_extract.main_text(f"<body><div class=content>{TEXT}</div>{cards}</body>")
+    for first in ("", "<img class=ad>", teasers):
+        assert html_extract.main_text(f"<body><div class='layout sidebar'><div>{first}<article>{TEXT}</article></div></div></body>") == PLAIN
+
+
 # op4
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
