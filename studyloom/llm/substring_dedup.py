@@ -10,7 +10,8 @@ Units are normalised: ASCII capitals, white space and punctuation don't count.
 Units are grouped by a 128-bit digest over the whole corpus. The occurrence of the smallest
 (doc_id, start) is the earliest ranked and stays. All others are marked; neighbouring marked
 units of a document become one span, and spans of ``LEAST_WORDS`` words or more are removed.
-Shorter ones stay: a lone short line repeats by chance. Spans have the start and end
+Of shorter ones the whole lines are, if they have ``LINE_WORDS`` words or ``LINE_CHARS`` characters together
+(scripts without spaces have few words); parts of lines and shorter lines stay, as they repeat by chance. Spans have the start and end
 (code points, end exclusive) in the original text.
 
 Digests are counted before each shuffle; only occurrences of repeated digests are joined back,
@@ -34,12 +35,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, read
 from .hashing import ALNUM, LOWER, groups, mix, word_hashes, words
 
-LONG, REACH, LEAST_WORDS = 10, 3, 25
-UNIT = pa.schema([("doc_id", pa.int64()), ("nr", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("n_words", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
+LONG, REACH, LEAST_WORDS = 10, 3, 15
+LINE_WORDS, LINE_CHARS = 6, 40
+UNIT = pa.schema([("doc_id", pa.int64()), ("nr", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 
 
 def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text nr, start byte, end byte, words, digest 1, digest 2) of the units of newline-ended texts."""
+    """(text nr, start byte, end byte, size, digest 1, digest 2) of the units of newline-ended texts; size: words * 4, + 2 for a line's first unit, + 1 for its last."""
     s, e = words(data, ALNUM)
     if not len(s):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
@@ -66,7 +68,8 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     d2 = np.add.reduceat(mix(h ^ mix(place.astype(np.uint64) + np.uint64(1 << 40))), first)
     text = np.searchsorted(offsets, s[first], side="right") - 1
     # a unit reaches up to the next one in its line, so that spans hold punctuation and space between
-    return text, s[first], e[last], n, mix(d1 + n.astype(np.uint64)), mix(d2)
+    begins, closes = np.append(True, line[last[:-1]] != line[first[1:]]), np.append(line[last[:-1]] != line[first[1:]], True)
+    return text, s[first], e[last], n * 4 + begins * 2 + closes, mix(d1 + n.astype(np.uint64)), mix(d2)
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ def units(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=UNIT)
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, nr int, start int, end int, n_words int, d1 long, d2 long")
+    return rows.mapInArrow(run, "doc_id long, nr int, start int, end int, size int, d1 long, d2 long")
 
 
 def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -105,10 +108,16 @@ def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
     marked = marked.repartition("doc_id").dropDuplicates(["doc_id", "nr", "start", "d1", "d2"])
     order = W.partitionBy("doc_id").orderBy("nr")
     run = F.sum((F.col("nr") - F.coalesce(F.lag("nr").over(order), F.lit(-2)) > 1).cast("int")).over(order)
-    spans = marked.withColumn("run", run).groupBy("doc_id", "run").agg(
+    of_run = W.partitionBy("doc_id", "run")
+    marked = marked.withColumn("run", run).withColumn("n_words", F.shiftright("size", 2))
+    marked = marked.withColumn("enough", F.sum("n_words").over(of_run) >= LEAST_WORDS)
+    # only a run's first and last line can be parts
+    begin, close = F.min(F.when(F.col("size").bitwiseAND(2) > 0, F.col("nr"))).over(of_run), F.max(F.when(F.col("size").bitwiseAND(1) > 0, F.col("nr"))).over(of_run)
+    marked = marked.withColumn("begin", begin).withColumn("close", close).where("enough OR nr BETWEEN begin AND close")
+    spans = marked.groupBy("doc_id", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_units"), F.min("first_doc_id").alias("first_doc_id")
     )
-    return spans.where(F.col("n_words") >= LEAST_WORDS).drop("run")
+    return spans.where((F.col("n_words") >= LINE_WORDS) | (F.col("end") - F.col("start") >= LINE_CHARS)).drop("run")
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -406,6 +406,26 @@ def test_substring_dedup(spark, cases, empty):
     assert substring_dedup.repeated_spans(spark, empty).count() == 0
 
 
+def test_substring_dedup_short_lines_and_passages(spark):
+    rng = np.random.default_rng(15)
+
+    def prose(n):
+        return " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+
+    line, cjk, short = prose(9), "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 5000, 60)), "two words"
+    texts = [f"{prose(30)}\n{x}\n{prose(30)}" for x in (line, cjk, short) for _ in range(3)]
+    passages = {n: [prose(n) for _ in range(40)] for n in (30, 40, 51)}
+    texts += [f"{prose(20)} {x} {prose(20)}" for own in passages.values() for x in own for _ in range(2)]
+    found = {}
+    for r in substring_dedup.repeated_spans(spark, docs(spark, texts)).collect():
+        found.setdefault(r.doc_id, []).append(texts[r.doc_id][r.start : r.end])
+    assert [found.pop(i, None) for i in range(9)] == [None, [line], [line], None, [cjk], [cjk], None, None, None]
+    hit = {n: sum(9 + 80 * k + 2 * i + 1 in found for i in range(40)) for k, n in enumerate(passages)}
+    print("marked of 40:", hit)
+    assert hit[30] >= 30 and hit[40] >= 38 and hit[51] == 40
+    assert all(i % 2 == 0 for i in found)  # never the first of a pair
+
+
 # op9
 def test_toxicity_learns_words(spark):
     rng = np.random.default_rng(9)
