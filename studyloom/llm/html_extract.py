@@ -9,9 +9,9 @@ Articles of comments or related pages, by their own class or what they stand in,
 
 For each line the text lengths of a window of ``WINDOW`` lines from there are summed. A surge
 is a line whose window rises from nothing; a dive is where the window's sum falls back to
-nothing. The text between a surge and its dive is kept where the highest window sum
-in it is no more than ``FALL`` times less than the page's highest; inside a marked article
-every such run is kept. Short lines between long ones stay, as the window spans them.
+nothing. The text between a surge and its dive is kept where a window in it has ``ENOUGH`` characters, or ``1 / FALL`` of the page's median window, or
+where it holds a top heading; so one long line can't outweigh others. Inside a marked article
+every run is kept. Short lines between long ones stay, as the window spans them.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by one newline in page order. Nothing else is dropped or cut.
@@ -32,15 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
 
-WINDOW, FALL = 3, 6
+WINDOW, FALL, ENOUGH = 3, 6, 100
 
 #: Elements by their role in a page.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
-NEVER = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "option", "svg", "object", "dialog", "menu", "audio", "video", "canvas", "math", "datalist", "fieldset", "label"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "annotation"}
+NEVER = {"nav", "header", "footer", "aside", "form", "head", "button", "select", "option", "svg", "object", "dialog", "menu", "audio", "video", "canvas", "datalist", "fieldset", "label"}
 MAIN = {"article", "main"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark",
     "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    "math", "semantics", "mrow", "mi", "mo", "mn", "ms", "mtext", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mstyle", "mspace", "mpadded", "mphantom", "menclose", "mfenced",
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Names of classes and ids of what isn't the article.
@@ -52,6 +53,10 @@ FURNITURE = {
 }
 #: Names of what holds other texts than the article, so that an article element inside isn't the page's.
 OTHERS = {"ad", "ads", "advert", "adverts", "advertisement", "comment", "commentlist", "comments", "discussion", "disqus", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "sponsor", "sponsored"}
+#: Of these names whole class tokens that may be of article text too, and ids that are furniture inside an article.
+DOUBTFUL = {"discussion", "disclaimer", "header", "legal", "search"}
+CERTAIN_IDS = {"comments", "disqus", "respond"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: First parts of class names that tell of the page, not of the element.
 STATES = {"has", "with", "no", "is", "not", "without"}
 FURNITURE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
@@ -61,12 +66,16 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def _is_furniture(attributes: str) -> bool:
+def _is_furniture(attributes: str, name: str, in_main: bool) -> bool:
     for key, *values in NAMED.findall(attributes):
         value = "".join(values).lower()
         if key.lower() == "role":
             if value.strip() in FURNITURE_ROLES:
                 return True
+        elif in_main or name in HEADINGS:  # names of sections tell what they are about
+            sure = CERTAIN_IDS if key.lower() == "id" else FURNITURE - DOUBTFUL
+            if sure & set(value.split()) and not (key.lower() == "id" and name in HEADINGS):
+                return True
         else:
             for part in map(re.compile(r"[^a-z]+").split, value.split()):
                 if (part[0] in FURNITURE or part[-1] in FURNITURE) and part[0] not in STATES:
@@ -81,12 +90,15 @@ def _holds_others(attributes: str) -> bool:
     return any((p[0] in OTHERS or p[-1] in OTHERS) and p[0] not in STATES for p in parts) or bool(HIDDEN.search(attributes))
 
 
-def lines_of(html: str) -> tuple[list[str], list[bool]]:
-    """Lines of the stripped page, and which lie in a marked article."""
+def lines_of(html: str) -> tuple[list[str], list[bool], set[int]]:
+    """Lines of the stripped page, which lie in a marked article, and the numbers of top headings."""
     lines: list[str] = []
     marked: list[bool] = []
     text: list[str] = []
+    titles: set[int] = set()
     linked = 0  # characters of the line inside links
+    free = False  # whether the line has words outside links
+    block = ""  # the element that the line is of
     in_link = in_main = 0
     skip: list[str] = []  # open elements since, and with, the one whose text is left out
     others = 0  # place in skip, from 1, of an element inside it that holds other texts
@@ -94,15 +106,19 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
     at, end = 0, len(html)
 
     def close_line() -> None:
-        nonlocal linked
+        nonlocal linked, free
         line = " ".join("".join(text).split())
-        if line and not (linked * 2 > len(line) and not in_main):
+        # a paragraph or title with words of its own is text, however much of it is links
+        own = block == "p" and free or block == "h1"
+        if line and (linked * 2 <= len(line) or in_main or own):
+            if block == "h1":
+                titles.add(len(lines))
             lines.append(line)
             marked.append(in_main > 0)
         elif line:
             gap()
         text.clear()
-        linked = 0
+        linked, free = 0, False
 
     def gap() -> None:
         lines.extend([""] * WINDOW)
@@ -116,6 +132,8 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
             text.append(piece)
             if in_link:
                 linked += len(piece.strip())
+            elif not free:
+                free = sum(map(str.isalnum, piece)) > 2
         if not tag:
             break
         at = tag.end()
@@ -153,12 +171,13 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
             in_link = 0 if closing else 1
         if name in INLINE and (closing or not attributes or name == "a"):
             continue
-        leave = not closing and (name in NEVER or name in MAIN and _holds_others(attributes) or name not in MAIN and name not in ("html", "body") and name not in VOID and name != "h1" and bool(attributes) and _is_furniture(attributes))
+        leave = not closing and (name in NEVER or name in MAIN and _holds_others(attributes) or name not in MAIN and name not in ("html", "body") and name not in VOID and name != "h1" and bool(attributes) and _is_furniture(attributes, name, in_main > 0))
         if name in INLINE and not leave:
             continue
         if leave and in_link and name in INLINE:
             continue
         close_line()
+        block = "" if closing else block if name in VOID else name
         if leave:
             gap()
             skip, others, soft = [name], 0, name not in NEVER and not _holds_others(attributes)
@@ -169,13 +188,13 @@ def lines_of(html: str) -> tuple[list[str], list[bool]]:
                 in_main += 1
             gap()
     close_line()
-    return lines, marked
+    return lines, marked, titles
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    lines, marked = lines_of(html)
+    lines, marked, titles = lines_of(html)
     longest = run = 0
     for x, m in zip(lines, marked, strict=True):
         run = run + len(x) if x and not m else 0
@@ -185,14 +204,15 @@ def main_text(html: str | None) -> str:
         lines = [x if m else "" for x, m in zip(lines, marked, strict=True)]
     lengths = [len(x) for x in lines]
     sums = [sum(lengths[i : i + WINDOW]) for i in range(len(lengths))]
-    least = 0 if within else max(sums, default=0) / FALL
+    full = sorted(x for x in sums if x)
+    least = 0 if within or not full else min(full[len(full) // 2] / FALL, ENOUGH)
     out: list[str] = []
     surge = None
     for i, s in enumerate([*sums, 0]):
         if surge is None and s:
             surge = i
         elif surge is not None and not s:  # dive
-            if max(sums[surge:i]) >= least:
+            if max(sums[surge:i]) >= least or not titles.isdisjoint(range(surge, i)):
                 out += [x for x in lines[surge:i] if x]
             surge = None
     return "\n".join(out)

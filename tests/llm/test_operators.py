@@ -176,6 +176,16 @@ def test_html_articles_that_are_not_the_text():
         assert html_extract.main_text(f"<body><div class='layout sidebar'><div>{first}<article>{TEXT}</article></div></div></body>") == PLAIN
 
 
+def test_html_keeps_text_beside_long_lines_and_in_named_sections():
+    long, short = "word " * 1200 + "end.", "A closing section of some words, set apart by an advert from what stands before it in the page, as is usual."
+    page = f"<body><h1>Title</h1><div class=ad>Buy</div><p>{long}</p><div class=ad>Buy</div><p>{short}</p></body>"
+    assert html_extract.main_text(page) == f"Title\n{long}\n{short}"
+    page = f"<body><article>{TEXT}<h2 id=related-work>Related work</h2><p>See others.</p><section id=discussion><p>We discuss.</p></section><p class=share>Share</p></article></body>"
+    assert html_extract.main_text(page) == f"{PLAIN}\nRelated work\nSee others.\nWe discuss."
+    page = f"<body><div>{TEXT}<p>As in <a href=x>the long title of another page of the site</a>.</p><p>With <math><mi>x</mi><mo>=</mo><mn>1</mn></math> it holds.</p></div><p><a>Home</a> | <a>About</a></p></body>"
+    assert html_extract.main_text(page) == f"{PLAIN}\nAs in the long title of another page of the site.\nWith x=1 it holds."
+
+
 # op4
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
