@@ -44,11 +44,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: Patterns of further candidates.
-HIDDEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]{1,63}(?:(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?|\.)[A-Za-z0-9-]{1,63}){1,4}")
+HIDDEN_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]+(?:(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?|\.)[A-Za-z0-9-]+)+")
 LOCAL_PHONE = re.compile(r"(?<![0-9.+-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9])")
 NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?i:\b(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key))\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=-]{8,512})")
+SECRET = re.compile(r"(?i:\b(token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key))\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=-]{8,})")
 SECRET_HINT = re.compile(r"[:=]")
 DIGIT = re.compile(r"[0-9]")
 #: Gazetteers.

@@ -225,6 +225,16 @@ def test_pii(spark, cases, empty):
     assert pii.find(spark, empty).count() == 0 and pii.find(spark, cases).count() == cases.count()
 
 
+def test_pii_long_secrets_and_domains(spark):
+    rng = np.random.default_rng(9)
+    key = "".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 5000)) + "=="
+    hidden = "jo [at] a.b.c.d.e.f.g.example.org"
+    assert pii.further_spans(f"private_key={key} x") == [(4, 12, 12 + len(key))]
+    assert pii.further_spans(f"to {hidden}, now") == [(0, 3, 3 + len(hidden))]
+    r = pii.find(spark, docs(spark, [f"private_key={key} x"] * 3)).first()
+    assert f"secret:12:{12 + len(key)}" in r.spans.split(",")
+
+
 def test_pii_em_finds_reliable_labelers():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.5
