@@ -497,8 +497,52 @@ def test_bpe_equals_library(spark, cases, empty):
 def test_bpe_reuses_chunks():
     own = bpe.ChunkCodec(bpe.byte_bpe())
     texts = [(f"start {i} " + " ".join(PARAGRAPHS) * 5).encode() for i in range(20)]
-    borders = [bpe.spaced(bpe.chunk_borders(np.frombuffer(t, np.uint8))) for t in texts]
-    list(own.encode(texts[:1], borders[:1]))
-    before = own.encoded
-    list(own.encode(texts[1:], borders[1:]))
-    assert own.encoded - before < 3 * len(texts)
+    list(own.encode(texts[:1]))
+    before = dict(own.made)
+    list(own.encode(texts[1:]))
+    assert before["chunks"] > 5 and own.made["chunks"] - before["chunks"] == 19  # of each further text the first chunk only
+    assert own.made["joins"] - before["joins"] < 3 * len(texts)
+
+
+def test_bpe_bounded_tables_and_hash_clashes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(bpe.byte_bpe())
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 6))) for _ in range(600)).encode() for _ in range(30)]
+    want = [np.array(whole.encode(t.decode()).ids, "<u4").tobytes() for t in texts]
+    small = bpe.ChunkCodec(bpe.byte_bpe(), held=3000)
+    for _ in range(2):
+        assert [i for t in texts for i, _ in small.encode([t])] == want
+    assert all(max(len(g[0]), len(g[3])) <= 3000 for t in (small.chunks, small.pieces, small.joins) for g in (t.young, t.old))
+    monkeypatch.setattr(bpe, "word_hashes", lambda data, s, e: (e - s).astype(np.uint64))  # spans of one length clash
+    bad = bpe.ChunkCodec(bpe.byte_bpe())
+    assert list(bad.encode(texts)) == list(zip(want, texts, strict=True)) and bad.made["whole"] > 0
+
+
+def test_bpe_widens_joins_until_they_agree():
+    from tokenizers import Tokenizer
+
+    own, whole = bpe.ChunkCodec(bpe.byte_bpe()), Tokenizer.from_file(bpe.byte_bpe())
+    sides = own._sides
+
+    def first_wrong(data, s, e):  # the first comparison of each join fails
+        out = sides(data, s, e)
+        if own.made["widened"] == 0:
+            return [np.append(x, np.uint32(1)) for x in out]
+        return out
+
+    own._sides = first_wrong
+    text = (" ".join(PARAGRAPHS) * 5).encode()
+    assert next(own.encode([text]))[0] == np.array(whole.encode(text.decode()).ids, "<u4").tobytes() and own.made["widened"] > 0 and own.made["whole"] == 0
+
+
+def test_bpe_refuses_other_tokenizers(tmp_path):
+    import json
+
+    said = json.loads(open(bpe.byte_bpe()).read())
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "Lowercase"}}, {"added_tokens": [said["added_tokens"][0] | {"lstrip": True}]}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(said | change))
+        with pytest.raises(ValueError):
+            bpe.ChunkCodec(str(path))
