@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read
-from .hashing import groups, mix, word_hashes
+from .hashing import groups, mix, ranges, word_hashes
 
 #: Ids (and spans) that a generation of a table may hold; two generations are kept.
 HELD_IDS = 1 << 21
@@ -77,12 +77,6 @@ def agreed(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_PRINTABLE[data[:-1]] & _GAP[data[1:]]) + 1
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 class Table:
     """Ids of spans by the spans' hash. When the young generation is full it becomes the old one, and what is asked for again moves back."""
 

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from studyloom.llm.hashing import mix, word_hashes
 from studyloom.llm import bpe, html_extract, jaccard_join, line_dedup, mixing, pii, quality, substring_dedup, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -498,6 +499,59 @@ def test_toxicity_learns_words(spark):
     assert np.mean([rows[d].predicted == (d % 3 == 0) for d in held]) > 0.95
 
 
+def test_toxicity_forward_pass_against_plain_loops():
+    """The network's logit of each text, by loops over words, filters and strands."""
+    rng = np.random.default_rng(5)
+    net = toxicity.Network(3)
+    net.bias = rng.standard_normal(len(net.bias)).astype(np.float32) * 0.1
+    net.emb[:-1] *= 100
+    texts = ["", "one", "Some words, and some more words: naïve ones, repeated words and wordiness", " ".join(f"w{i}ords" for i in range(50))]
+
+    def bucket(b):
+        h = word_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))
+        return h
+
+    def row(h):
+        return int(mix(h)[0] % np.uint64(toxicity.BUCKETS))
+
+    got = [z for _, _, q in toxicity.sequences([t.encode() for t in texts]) for z in net.logits(q)]
+    for t, z in zip(texts, got, strict=True):
+        seq = []
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode()):
+            w = w.lower()
+            e = net.emb[row(bucket(w))].copy()
+            for size in toxicity.PREFIXES:
+                if len(w) > size:
+                    e += net.emb[row(bucket(w[:size]) + np.uint64(size))]
+            seq.append(e)
+        places = -(-(len(seq) + 2) // toxicity.STRANDS) * toxicity.STRANDS
+        zero = np.zeros(toxicity.DIM)
+        at = lambda i: seq[i] if i < len(seq) else zero
+        top, mean = [], []
+        for w, f in enumerate(net.filters):
+            for c in range(toxicity.FILTERS):
+                strands = [max(sum(at(i + j) @ f[j][:, c] for j in range(len(f))) for i in range(s, places, toxicity.STRANDS)) for s in range(toxicity.STRANDS)]
+                a = [max(0, x + net.bias[w * toxicity.FILTERS + c]) for x in strands]
+                top.append(max(a))
+                mean.append(sum(a) / len(a))
+        assert abs(np.dot([*top, *mean], net.out) + net.shift[0] - z) < 1e-3 * max(1, abs(z))
+
+
+def test_toxicity_held_out(spark):
+    folder = f"{os.environ.get('STUDYLOOM_DATA', '/root/testdata')}/sf0.1"
+    rows = toxicity.query(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out AND toxic IN (0, 1)").select("predicted", "toxic").collect()
+    hit, toxic, said = sum(r.predicted * r.toxic for r in rows), sum(r.toxic for r in rows), sum(r.predicted for r in rows)
+    print("recall", hit / toxic, "precision", hit / said)
+    assert hit >= 0.9 * toxic and hit >= 0.9 * said
+
+
+def test_toxicity_reruns_agree_with_repeated_labels(spark):
+    df = docs(spark, [f"text {i} {'bad' if i % 2 else 'fine'} words" for i in range(60)])
+    known = spark.createDataFrame([(i, i % 2) for i in range(60) for _ in range(3)], "doc_id long, toxic int")
+    one = sorted(toxicity.score(spark, df, known).collect())
+    assert one == sorted(toxicity.score(spark, df.repartition(5), known.repartition(3)).collect()) == sorted(toxicity.score(spark, df, known.distinct()).collect())
+
+
 def test_toxicity_cases(spark, cases, empty):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = toxicity.score(spark, cases, none).collect()
