@@ -180,13 +180,53 @@ def test_html_extraction(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_html_on_pages(spark, sf001):
+def article_of(html):
+    """The text of a page of the test data, by its own marks."""
     from html import unescape
 
+    article = re.search(r"<article>(.*)</article>", html, re.S).group(1)
+    blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", article)]
+    return "\n".join(x for x in blocks if x)
+
+
+def test_html_on_pages(spark, sf001):
     for r in html_extract.query(spark, sf001).join(spark.read.parquet(f"{sf001}/pages.parquet"), "page_id").collect():
-        article = re.search(r"<article>(.*)</article>", r.html, re.S).group(1)
-        blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1|br)>", article)]
-        assert r.text == "\n".join(x for x in blocks if x)
+        assert r.text == article_of(r.html)
+
+
+def test_html_on_pages_without_marks(monkeypatch):
+    """Marks, class names, and navigation and footer elements are taken away one after the other; the density still finds the article."""
+    import pandas as pd
+
+    pages = pd.read_parquet(f"{os.environ.get('STUDYLOOM_DATA', '/root/testdata')}/sf0.1/pages.parquet")["html"].tolist()[:800]
+    want = [article_of(h) for h in pages]
+
+    def share(pages):
+        return sum(html_extract.main_text(h) == w for h, w in zip(pages, want, strict=True)) / len(pages)
+
+    pages = [h.replace("<article>", "<div>").replace("</article>", "</div>") for h in pages]
+    assert share(pages) == 1
+    pages = [re.sub(r' (class|id|role)="[^"]*"', "", h) for h in pages]
+    assert share(pages) >= 0.97
+    bare = [re.sub(r"<(/?)(nav|footer)>", r"<\1div>", h) for h in pages]
+    assert share(bare) >= 0.94
+    monkeypatch.setattr(html_extract, "ENOUGH", 0)  # every run dense: no surge, no dive
+    monkeypatch.setattr(html_extract.Page, "article_box", lambda self, lines: 0)
+    assert share(pages) == 0
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<", "</", "<!", "<p '", "<p =\"", "<div>", "<script>", "<textarea>x", "<div", "<p>x", "<svg>", "</div>", "<!--"])
+def test_html_malformed_pages_take_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 8
+
+
+def test_html_tags_and_quotes():
+    assert html_extract.main_text("<p title=it's>One's own <b data-x='a>b'>text</b> is < 2 & <em class=x</em>more</p><p>two") == "One's own text is < 2 & more\ntwo"
+    assert html_extract.main_text("<div><div>a first box</div><div>a second one</div><p>a paragraph</p></div>") == "a first box\na second one\na paragraph"
 
 
 TEXT = "".join(f"<p>Paragraph {i} of the article, with enough words in it to be a paragraph of its own.</p>" for i in range(5))
