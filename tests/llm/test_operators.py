@@ -77,9 +77,32 @@ def test_topk(spark, n, dim, copies):
 
 
 def test_topk_large_components(spark):
-    rows = [(0, [1e15, -2e15]), (1, [1e15, 3.0]), (2, [5e14, 1e15]), (3, [1e30, 0.0])]
-    got = topk.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
-    assert [r.vec_id for r in got] == [1, 2] and got[0].score == (1 << 63) - 1 and got[1].score == -(1 << 63)
+    """Components of any finite size take part; scores beyond long show as its bounds but rank exactly."""
+    big = 1e300
+    rows = [(0, [1e15, -2e15]), (1, [1e15, 3.0]), (2, [5e14, 1e15]), (3, [1e30, 0.0]), (4, [big, 0.0]), (5, [-big, 0.0]), (6, [-1e40, 0.0]), (7, [1.5, 0.5]), (8, [2e30, 0.0])]
+    got = topk.top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    ints = {i: [math.floor(64 * x) if abs(x) < 1e300 else 64 * int(x) for x in v] for i, v in rows}
+    exact = {i: sum(x * y for x, y in zip(ints[0], v, strict=True)) for i, v in ints.items() if i}
+    assert [r.vec_id for r in got] == sorted(exact, key=lambda i: (-exact[i], i))
+    assert [r.score for r in got] == [max(-(1 << 63), min((1 << 63) - 1, exact[r.vec_id])) for r in got]
+
+
+def test_topk_threshold_saves_sums(monkeypatch):
+    """Phases 1 and 2 collect a small part of the pairs, and with the threshold away all of them."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((4000, 64))
+    v = np.floor(64 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    q = v[:100]
+    exact = q @ v.T
+    cutoff = np.sort(exact, axis=1)[:, -21].astype(float)
+    first = topk.collected(q, v, 20, None)
+    assert len(first[0]) <= 4 * 21 * len(q)
+    at_q, at_c = topk.collected(q, v, 20, cutoff)
+    print("collected", len(at_q) / exact.size)
+    assert len(at_q) < 0.4 * exact.size
+    assert set(zip(*np.nonzero(exact >= cutoff[:, None]), strict=True)) <= set(zip(at_q, at_c, strict=True))
+    assert (topk.sums(q, v, at_q, at_c) == exact[at_q, at_c]).all()
+    assert len(topk.collected(q, v, 20, np.full(len(q), -np.inf))[0]) == exact.size
 
 
 def test_topk_empty(spark):
