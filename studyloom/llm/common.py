@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,27 +83,40 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bits of a key filter: 2**17 words, whatever the number of keys.
-FILTER_BITS = 1 << 23
+#: Bits of a key filter: 8 a key, within these bounds. The larger one is 2**19 words, some 30 MB as a broadcast table.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 
 
-def _slot(key: Column) -> tuple[Column, Column]:
-    slot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+class KeyFilter(NamedTuple):
+    """A bitmap of hashed keys, (__word, __bits) in at most bits / 64 rows, to be broadcast."""
+
+    words: DataFrame
+    bits: int
+
+
+def _slot(key: Column, bits: int) -> tuple[Column, Column]:
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
     return F.shiftright(slot, 6).cast("int"), F.pmod(slot, F.lit(64)).cast("int")
 
 
-def key_filter(keys: DataFrame, column: str) -> DataFrame:
-    """(__word, __bits): a bitmap of the hashed keys, at most FILTER_BITS / 64 rows, to be broadcast.
+def key_filter(keys: DataFrame, column: str) -> KeyFilter:
+    """A filter of the keys of a written table, sized by their number up to MOST_BITS.
 
-    It keeps rows that surely have no partner out of a shuffle. With very many keys it lets all pass, and the join decides.
+    It keeps rows that surely have no partner out of a shuffle. Beyond some ten million keys it lets more and more pass, and the join decides.
     """
-    word, bit = _slot(F.col(column))
-    bits = keys.select(word.alias("__word"), bit.alias("__bit")).distinct()
-    return bits.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    bits = min(max(1 << (8 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    word, bit = _slot(F.col(column), bits)
+    found = keys.select(word.alias("__word"), bit.alias("__bit")).distinct()
+    return KeyFilter(found.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")), bits)
 
 
-def flagged(df: DataFrame, bits: DataFrame, key: Column) -> DataFrame:
+def flagged(df: DataFrame, keys: KeyFilter, key: Column) -> DataFrame:
     """df with __may: whether the key may be among the filter's."""
-    word, bit = _slot(key)
-    joined = df.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(bits), "__word", "left")
+    word, bit = _slot(key, keys.bits)
+    joined = df.withColumn("__word", word).withColumn("__bit", bit).join(F.broadcast(keys.words), "__word", "left")
     return joined.withColumn("__may", F.coalesce(F.expr("(shiftright(__bits, __bit) & 1) = 1"), F.lit(False))).drop("__word", "__bit", "__bits")
+
+
+def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs as __row, a struct of all columns, beside the named ones: whatever the other columns are called, they clash with nothing."""
+    return docs.select(F.struct("*").alias("__row"), *columns)

@@ -20,13 +20,13 @@ class with the fewest rare tokens, which is linear in a group's size and joins m
 Then remaining pairs are formed only between different components. So links inside a component
 need not all be found, but no link between components is missed: the components are exact.
 
-Components are found by repeated smallest-neighbour hooking and pointer jumping, with each
-round's table in the shared folder.
+Components are found by hooking to neighbours and pointer jumping, with each
+round's tables in the shared folder.
 
 Cases: null or empty text, or only white space: an empty set, linked with nothing, its component
 its own doc_id; a null doc_id takes no part and has a null component; rows that share a doc_id
 are one document in components, each with the n_shingles of its text; equal sets link however
-short; an empty table gives no rows; other columns are ignored. 64-bit hashes stand for shingles:
+short; an empty table gives no rows; other columns are ignored; doc_id is a whole number. 64-bit hashes stand for shingles:
 two different ones in one document pair collide with a chance of about n * n / 2**64.
 """
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, flagged, key_filter, read
+from .common import Scratch, flagged, key_filter, read, rows_of
 from .hashing import LOWER, NOT_SPACE, groups, mix, word_hashes, words
 
 #: Overlap of at least NUM / DEN of the union, in shingles of SHINGLE words, for the query's contract.
@@ -157,10 +157,11 @@ def _whole_sets(docs: DataFrame, alive: DataFrame, size: int) -> DataFrame:
     return rows.join(alive.select("rep", "s1").hint("shuffle_hash"), "rep").select("rep", "s1", "text").mapInArrow(run, "rep long, n int, tokens array<long>")
 
 
-def _prefixes(sets: DataFrame, sizes: _Sizes, n_prefix: Column) -> DataFrame:
+def _prefixes(sets: DataFrame, n_prefix: Column, keep: Scratch) -> DataFrame:
     """rep, n, rare, p1, p2, p3: prefixes under three orders, without the tokens of one class only."""
     rows = sets.select("rep", "n", F.explode("tokens").alias("token"))
     counts = rows.groupBy("token").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("token", "c")
+    counts = keep.save(counts, "counts")  # a plain table, so that the join can split a hot token
     shared = rows.join(counts, "token").groupBy("rep", "n").agg(F.collect_list(F.struct("c", "token")).alias("ts"))
     shared = shared.withColumn("rare", F.col("n") - F.size("ts")).withColumn("left", n_prefix - F.col("rare")).where("left > 0")
 
@@ -184,22 +185,48 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def components(edges: DataFrame, keep: Scratch, name: str) -> DataFrame:
-    """node, label: the smallest node that edges (a, b) reach from each node, for nodes that have edges."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = keep.save(both, f"{name}-edges")
-    labels = keep.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), f"{name}-0")
-    for step in range(1, 64):
-        # the smallest label around, and that label's own: hooking and pointer jumping
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("node").alias("of"), F.col("label").alias("beyond"))
-        new = labels.join(seen, "node").withColumn("least", F.least("label", "near")).join(hop, F.col("least") == F.col("of"), "left")
-        new = new.select("node", F.least("least", "beyond").alias("label"), F.col("label").alias("was"))
-        new = keep.save(new, f"{name}-{step}")
-        changed = not new.where("label <> was").isEmpty()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle")
+    """node, label: the smallest node that edges (a, b) reach from each node, for nodes that have edges.
+
+    In each round every node hooks to the neighbour of the least hash, if that is less than its own, and all nodes of
+    such a tree become its root; edges inside trees are gone. Hashes differ by round, so no order of ids makes long
+    trees or many rounds: a third of a chain's nodes are left after each. Roots are renamed to their smallest node at the end.
+    """
+    open_ = keep.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-edges-0")
+    rounds, maps = 0, []
+    while not open_.isEmpty():
+        seed = F.lit(rounds)
+        both = open_.select("a", "b").union(open_.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", F.xxhash64("b", seed)).alias("near"))
+        up = F.xxhash64("near", seed) < F.xxhash64("node", seed)
+        tree = keep.save(near.select("node", F.when(up, F.col("near")).otherwise(F.col("node")).alias("up")), f"{name}-tree-{rounds}-0")
+        jumps = 0
+        while True:  # pointer jumping; trees are seldom deeper than a few nodes
+            jumps += 1
+            above = tree.select(F.col("node").alias("up"), F.col("up").alias("above"))
+            tree = tree.join(above, "up").select("node", F.col("above").alias("up"), F.col("up").alias("was"))
+            if jumps % 2 == 0:  # two jumps a table
+                tree = keep.save(tree, f"{name}-tree-{rounds}-{jumps}")
+                keep.drop(f"{name}-tree-{rounds}-{jumps - 2}")
+                if tree.where("up <> was").isEmpty():
+                    break
+            tree = tree.select("node", "up")
+        roots = tree.select("node", "up")
+        maps.append(roots)
+        of_a, of_b = (roots.select(F.col("node").alias(c), F.col("up").alias(f"r{c}")) for c in "ab")
+        moved = open_.join(of_a, "a").join(of_b, "b").where("ra <> rb")
+        open_ = keep.save(moved.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-edges-{rounds + 1}")
+        keep.drop(f"{name}-edges-{rounds}")
+        rounds += 1
+    if not maps:
+        return open_.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    # the rounds' tables shrink, so they are put together from the last one on
+    whole = maps.pop()
+    while maps:
+        later = whole.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        whole = maps.pop().join(later, "up", "left").select("node", F.coalesce("root", "up").alias("up"))
+    whole = keep.save(whole, f"{name}-roots")
+    least = whole.groupBy("up").agg(F.least(F.min("node"), F.min("up")).alias("label"))
+    return keep.save(whole.join(keep.save(least, f"{name}-least"), "up").select("node", "label"), f"{name}-labels")
 
 
 def _with_label(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -233,11 +260,12 @@ def join(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, num: int = N
     alive = classes.join(rare, "s1", "left").where(longer - F.coalesce("rare", F.lit(0)) >= shared(overlap(n))).select("rep", "s1", "n")
     alive = keep.save(alive, "alive")
     sets = keep.save(_whole_sets(docs, alive, size), "sets")
-    prefixes = keep.save(_prefixes(sets, sizes, prefix(n).cast("int")), "prefixes")
+    prefixes = keep.save(_prefixes(sets, prefix(n).cast("int"), keep), "prefixes")
     postings = prefixes.select("rep", "n", "rare", "p1", F.posexplode("p1").alias("pos", "token"))
 
     # round 1: a token's classes against its pivot
-    pivots = postings.groupBy("token").agg(F.min(F.struct("rare", "rep")).alias("pivot")).select("token", F.col("pivot.rep").alias("pivot"))
+    fewest = F.shiftleft(F.col("rare").cast("long"), 31) + F.pmod(F.xxhash64("rep"), F.lit(1 << 31))
+    pivots = keep.save(postings.groupBy("token").agg(F.min_by("rep", fewest).alias("pivot")), "pivots")
     first_pairs = postings.select("token", "rep").join(pivots, "token").where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
     room = _room(num, den)
     ends = prefixes.select("rep", "n", "p2", "p3")
@@ -257,6 +285,7 @@ def join(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, num: int = N
     labelled = postings.join(labels, postings["rep"] == labels["node"], "left").withColumn("label", F.coalesce("label", "rep")).drop("node")
     # a token whose classes are all in one component has nothing left to compare
     open_tokens = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    open_tokens = keep.save(open_tokens, "open")
     labelled = keep.save(labelled.join(open_tokens, "token", "left_semi"), "labelled")
     x, y = (labelled.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "rare", "p1", "pos", "label")]) for s in "xy")
     meet = (F.col("label_x") != F.col("label_y")) & (F.col("rep_x") < F.col("rep_y")) & room
@@ -264,9 +293,10 @@ def join(spark: SparkSession, docs: DataFrame, size: int = SHINGLE, num: int = N
     pairs = x.withColumnRenamed("token", "token_x").join(y.withColumnRenamed("token", "token_y"), (F.col("token_x") == F.col("token_y")) & meet & first_common)
     pairs = keep.save(pairs.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")), "pairs")
     more = keep.save(_verified(filtered(pairs), sets, num, den), "links-2")
-    final = components(links.union(more), keep, "all")
+    # the first round's components stand for its links
+    final = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), keep, "all")
 
-    keep.drop("sets", "prefixes", "labelled", "pairs")
+    keep.drop("alive", "sets", "counts", "prefixes", "pivots", "open", "labelled", "pairs", "links-1", "links-2", "part-labels")
     named = classes.join(final, classes["rep"] == final["node"], "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
     # two classes may share a doc_id where rows repeat it
     out = signed.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
@@ -287,14 +317,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """One document of each component: that of the smallest doc_id; of equal rows one. Rows with null doc_id stay."""
+    """One document of each component: that of the smallest doc_id; of equal rows one. Rows with null doc_id stay, columns of any names pass through."""
     keep = Scratch(spark)
     found = keep.save(join(spark, docs, size, num, den).select("doc_id", "component_id").where("doc_id IS NOT NULL"), "found")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
     repeated = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.count("*").alias("n")).where("n > 1").select("__doc")
-    touched = keep.save(gone.withColumn("gone", F.lit(True)).unionByName(repeated.withColumn("gone", F.lit(False))), "touched")
+    touched = keep.save(gone.withColumn("__gone", F.lit(True)).unionByName(repeated.withColumn("__gone", F.lit(False))), "touched")
     # documents that surely stay, once, aren't shuffled
-    split = flagged(docs, key_filter(touched, "__doc"), F.col("doc_id").cast("long"))
-    near = split.where("__may AND doc_id IS NOT NULL").select(*docs.columns)
-    near = near.join(touched.where("gone").hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left_anti").dropDuplicates(docs.columns)
-    return split.where("NOT __may OR doc_id IS NULL").select(*docs.columns).unionByName(near)
+    rows = rows_of(docs, F.col("doc_id").cast("long").alias("__id"))
+    split = flagged(rows, key_filter(touched, "__doc"), F.col("__id"))
+    near = split.where("__may AND __id IS NOT NULL")
+    near = near.join(touched.where("__gone").hint("shuffle_hash"), F.col("__id") == F.col("__doc"), "left_anti").select("__row").dropDuplicates()
+    return split.where("NOT __may OR __id IS NULL").select("__row").unionByName(near).select("__row.*")

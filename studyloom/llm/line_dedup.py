@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, flagged, key_filter, read
+from .common import Scratch, flagged, key_filter, read, rows_of
 
 AVERAGE, LEAST_LINES = 3, 2
 
@@ -58,7 +58,7 @@ def marks(docs: DataFrame, keep: Scratch | None = None) -> DataFrame:
     """__doc, __of, __marks: by document the sorted (k, n, pair) of its pairs that occur n > 1 times in the corpus."""
     pairs = _pairs(docs)
     again = pairs.groupBy("pair").agg(F.count("*").alias("n")).where("n > 1")
-    if keep:
+    if keep is not None:
         again = keep.save(again, "again")
         pairs = flagged(pairs, key_filter(again, "pair"), F.col("pair")).where("__may").drop("__may")
     held = pairs.join(again.hint("shuffle_hash"), "pair").groupBy("__doc", "__of")
@@ -136,13 +136,14 @@ def removals(docs: DataFrame, keep: Scratch) -> DataFrame:
     own = own.join(found.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__of"))).select("__doc", "__of", "__text", "__marks")
     text = F.transform("__chunks", lambda c: F.struct(_place(c).alias("place"), c["digest"].alias("digest"), F.when(c["digest"].isNotNull(), F.array_join(F.slice("__lines", c["first"] + 1, c["n"]), "\n")).alias("bytes")))
     cut = keep.save(_cut(own, "__text").select("__doc", "__of", text.alias("__chunks")), "cut")
-    keep.drop("again")
     rows = cut.select("__doc", "__of", F.explode("__chunks").alias("c")).select("__doc", "__of", "c.*").where("digest IS NOT NULL")
     twice = keep.save(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "twice")
     texts = flagged(rows, key_filter(twice, "digest"), F.col("digest")).where("__may").drop("__may")
     texts = keep.save(texts.join(twice.hint("shuffle_hash"), "digest", "left_semi"), "texts")
     same = texts.groupBy("digest", "bytes").agg(F.min("__doc").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    held = texts.join(same, ["digest", "bytes"]).groupBy("digest", "bytes", "keeper", "__doc", "__of").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    # a plain table, and its rows dealt by document next, so that the join can split a chunk that very many documents hold
+    same = keep.save(same, "same")
+    held = texts.join(same, ["digest", "bytes"]).repartition("__doc", "__of").groupBy("digest", "bytes", "keeper", "__doc", "__of").agg(F.sort_array(F.collect_set("place")).alias("places"))
     # the keeper's first occurrence stays
     gone = held.select("__doc", "__of", F.explode(F.when(F.col("keeper") == F.col("__doc"), F.expr("slice(places, 2, size(places))")).otherwise(F.col("places"))).alias("place"))
     gone = gone.groupBy("__doc", "__of").agg(F.collect_set("place").alias("__removed"))
@@ -151,22 +152,22 @@ def removals(docs: DataFrame, keep: Scratch) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without repeated chunks in text; __removed: places (first line * 2**32 + lines) of the chunks that went; __n_lines, __n_chunks."""
+    """Of each row __row (all columns of docs), __new (the text without repeated chunks), __removed (places, first line * 2**32 + lines, of the chunks that went), __n_lines, __n_chunks."""
     keep = Scratch(spark)
-    gone = keep.save(removals(docs, keep), "gone")
-    keep.drop("texts", "twice", "cut", "marks")
+    gone = keep.save(removals(docs.select("doc_id", "text"), keep), "gone")
+    keep.drop("again", "texts", "twice", "same", "cut", "marks")
     # texts without a repeated pair, one chunk each, aren't shuffled
-    split = flagged(docs, key_filter(gone, "__doc"), F.col("doc_id"))
-    changed = split.where("__may").drop("__may").join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__of")), "left")
+    rows = rows_of(docs, F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    split = flagged(rows, key_filter(gone, "__doc"), F.col("__id"))
+    changed = split.where("__may").drop("__may").join(gone.hint("shuffle_hash"), (F.col("__id") == F.col("__doc")) & (F.xxhash64("__text") == F.col("__of")), "left")
     none = F.lit(None).cast("array<bigint>")
-    changed = changed.select(*docs.columns, "__chunks", "__removed").unionByName(split.where("NOT __may").select(*docs.columns, none.alias("__chunks"), none.alias("__removed")))
+    changed = changed.select("__row", "__text", "__chunks", "__removed").unionByName(split.where("NOT __may").select("__row", "__text", none.alias("__chunks"), none.alias("__removed")))
     joined = changed.withColumn("__removed", F.coalesce("__removed", F.expr("cast(array() as array<bigint>)")))
-    joined = joined.withColumn("__lines", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("__n_chunks", F.when(F.col("__chunks").isNull(), 1).otherwise(F.size("__chunks")))
+    joined = joined.withColumn("__lines", F.split(F.coalesce("__text", F.lit("")), "\n", -1)).withColumn("__n_chunks", F.when(F.col("__chunks").isNull(), 1).otherwise(F.size("__chunks")))
     kept = F.array_except("__chunks", F.col("__removed"))
     lines = F.transform(kept, lambda p: F.array_join(F.slice("__lines", F.shiftright(p, 32).cast("int") + 1, p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")), "\n"))
-    text = F.when(F.size("__removed") == 0, F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = joined.withColumn("__n_lines", F.size("__lines")).withColumn("text", text)
-    return out.select(*docs.columns, "__n_lines", "__n_chunks", "__removed")
+    text = F.when(F.size("__removed") == 0, F.col("__text")).otherwise(F.array_join(lines, "\n"))
+    return joined.select("__row", text.alias("__new"), "__removed", F.size("__lines").alias("__n_lines"), "__n_chunks")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,19 +175,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.array_join(F.transform(F.sort_array("__removed"), lambda p: F.concat_ws(":", F.shiftright(p, 32).cast("string"), p.bitwiseAND(F.lit((1 << 32) - 1)).cast("string"))), ",")
     return out.select(
-        "doc_id",
+        "__row.doc_id",
         F.col("__n_lines").cast("long").alias("n_lines"),
         F.col("__n_chunks").cast("long").alias("n_chunks"),
         F.size("__removed").cast("long").alias("n_removed_chunks"),
         F.aggregate("__removed", F.lit(0).cast("long"), lambda s, p: s + p.bitwiseAND(F.lit((1 << 32) - 1))).alias("n_removed_lines"),
         spans.alias("removed"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("__new", F.lit("")).alias("text"),
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents without repeated chunks; n_chars follows the text."""
+    """The documents without repeated chunks; n_chars follows the text, columns of any names pass through."""
     out = dedup(spark, docs)
-    changed = F.size("__removed") > 0
-    n_chars = F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    n_chars = F.when(F.size("__removed") > 0, F.length("__new").cast("long")).otherwise(F.col("__row.n_chars"))
+    row = F.col("__row").withField("text", F.col("__new"))
+    return out.select((row.withField("n_chars", n_chars) if "n_chars" in docs.columns else row).alias("__row")).select("__row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, read
+from .common import WORD, Scratch, read, rows_of
 
 WEIGHTS, CAP, SHARE = (3, 1, 2), 2, (3, 2)  # SHARE: a fraction, of all words
 SEED = "mix-1"
@@ -91,14 +91,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The mixed documents, a row for each copy. A doc_id that several documents of one source and size share is mixed as rows in equal number."""
+    """The mixed documents, a row for each copy, with all their columns whatever their names. A doc_id that several documents of one source and size share is mixed as rows in equal number."""
     key = F.struct("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    plan = mix(spark, docs).where("copies > 0").groupBy(F.struct("doc_id", "source", "size").alias("__mix_key"))
-    plan = plan.agg(F.sort_array(F.collect_list("copies")).alias("__mix_copies"))
-    nr = F.row_number().over(W.partitionBy("__mix_key").orderBy(F.xxhash64("text"), "text"))
-    joined = docs.withColumn("__mix_key", key).join(plan, "__mix_key").withColumn("__mix_nr", nr)
-    joined = joined.withColumn("__mix_n", F.try_element_at("__mix_copies", F.col("__mix_nr"))).where("__mix_n > 0")
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_n").cast("int")))).select(*docs.columns)
+    plan = mix(spark, docs).where("copies > 0").groupBy(F.struct("doc_id", "source", "size").alias("__key"))
+    plan = plan.agg(F.sort_array(F.collect_list("copies")).alias("__copies"))
+    nr = F.row_number().over(W.partitionBy("__key").orderBy(F.xxhash64("__text"), "__text"))
+    joined = rows_of(docs, key.alias("__key"), F.col("text").alias("__text")).join(plan, "__key").withColumn("__nr", nr)
+    joined = joined.withColumn("__n", F.try_element_at("__copies", F.col("__nr"))).where("__n > 0")
+    return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select("__row.*")
 
 
 ORACLE = f"""

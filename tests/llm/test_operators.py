@@ -430,12 +430,13 @@ def test_line_dedup(spark, cases, empty):
     passages = ["\n".join(rng.choice(pool, 8)) for _ in range(5)]
     texts = ["\n".join([f"own {i}", passages[i % 5], f"mid {i}", passages[(i * 3) % 5], f"tail {i}"]) for i in range(60)] + [passages[0]] * 30 + ["\n\n\n\n", "x\n" * 50]
     for df in (docs(spark, texts), cases):
-        got = line_dedup.dedup(spark, df).collect()
-        assert sorted(((r.doc_id, r.text or "") for r in got), key=str) == brute_lines(spark, df)
+        got = line_dedup.dedup(spark, df).select("__row.doc_id", "__new").collect()
+        assert sorted(((r[0], r[1] or "") for r in got), key=str) == brute_lines(spark, df)
     out = line_dedup.stage(spark, cases)
     assert out.columns == cases.columns and out.count() == cases.count()
     assert all(r.text is None and r.n_chars is None or r.n_chars == len(r.text) for r in out.collect())
-    assert line_dedup.dedup(spark, empty).count() == 0
+    assert line_dedup.dedup(spark, empty).count() == 0 and line_dedup.stage(spark, empty).count() == 0
+    assert line_dedup.stage(spark, named(cases)).columns == named(cases).columns and line_dedup.stage(spark, named(cases)).count() == cases.count()
 
 
 def test_line_dedup_borders_survive_insertions(spark):
@@ -462,7 +463,7 @@ def test_line_dedup_removes_short_passages(spark):
             texts += [sep.join([*lines(3), *passage, *lines(3)]) for _ in range(2)]
     part = lines(12)  # a part of a longer passage
     texts += ["\n".join(lines(2) + p + lines(2)) for p in (part, part, part[4:7])]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(spark, docs(spark, texts)).collect()}
+    got = {r[0]: r[1] for r in line_dedup.dedup(spark, docs(spark, texts)).select("__row.doc_id", "__new").collect()}
     assert all(got[2 * i] == texts[2 * i] for i in range(160))
     lost = [all(x not in got[2 * i + 1] for x in p.split("\n") if x) for i, p in enumerate(want)]
     assert sum(lost) == 160
@@ -508,10 +509,33 @@ def test_jaccard_join_cases(spark, cases, empty):
     assert jaccard_join.join(spark, empty).count() == 0
     nulls = docs(spark, ["a b c d", "a b c d"]).withColumn("doc_id", F.when(F.col("doc_id") == 1, F.col("doc_id")))
     assert sorted((r.component_id for r in jaccard_join.join(spark, nulls).collect()), key=str) == [1, None]
+    assert jaccard_join.stage(spark, named(cases)).columns == named(cases).columns and jaccard_join.stage(spark, empty).count() == 0
     out = jaccard_join.stage(spark, cases)
     assert out.columns == cases.columns and sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 10, 11]
 
 
+def test_components_of_chains(spark):
+    from studyloom.llm.common import Scratch
+
+    class Counting(Scratch):
+        def save(self, df, name):
+            self.saved = [*getattr(self, "saved", []), name]
+            return super().save(df, name)
+
+    rng = np.random.default_rng(4)
+    n = 10_000
+    chains = [list(range(n)), [n + int(x) for x in rng.permutation(n)], [2 * n + x for x in [0, *range(n - 1, 0, -1)]]]  # rising, random, and one that only meets its least node at an end
+    edges = [(a, b) for c in chains for a, b in zip(c, c[1:], strict=False)] + [(3 * n, 3 * n + 1 + i) for i in range(500)]
+    keep = Counting(spark)
+    got = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long"), keep, "t").collect()}
+    assert got == {i: i // n * n if i < 3 * n else 3 * n for i in range(3 * n + 501)}
+    rounds = sum(x.startswith("t-edges-") for x in keep.saved)
+    print("rounds", rounds, "tables", len(keep.saved))
+    assert rounds < 20 and len(keep.saved) < 80
+    none = jaccard_join.components(spark.createDataFrame([(1, 1)], "a long, b long"), Scratch(spark), "t")
+    assert none.count() == 0 and none.columns == ["node", "label"]
+
+
 # op7
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
@@ -555,7 +579,7 @@ def test_mixing(spark):
 def test_mixing_cases(spark, cases, empty):
     assert mixing.mix(spark, cases).count() == cases.count()
     assert mixing.mix(spark, empty).count() == 0 and mixing.stage(spark, empty).count() == 0
-    assert mixing.stage(spark, cases).columns == cases.columns
+    assert mixing.stage(spark, cases).columns == cases.columns and mixing.stage(spark, named(cases)).columns == named(cases).columns
 
 
 # op8
