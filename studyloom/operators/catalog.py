@@ -44,9 +44,9 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def missing(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """Rows of expected (name) that no present path contains. expected is a short list of required files."""
-    paths = present.select("path")
-    return expected.join(paths, F.contains(paths["path"], expected["name"]), "left_anti")
+    """Rows of expected (name) that no present path contains. expected is a short list of required files, so it is what is broadcast, not the listing."""
+    found = present.join(F.broadcast(expected), F.contains(present["path"], expected["name"])).select(expected["name"]).distinct()
+    return expected.join(found, "name", "left_anti")
 
 
 def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
@@ -54,6 +54,11 @@ def tables(spark: SparkSession, database: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "name string, kind string, temporary boolean")
 
 
+def new_anonymous_id() -> Column:
+    """anon_ and 16 random hexadecimal digits."""
+    return F.concat(F.lit("anon_"), F.substring(F.sha2(F.expr("uuid()"), 256), 1, 16))
+
+
 def anonymous_id(c: Column) -> Column:
     return c.startswith("anon_") & (F.length(c) == 21)
 

@@ -1,4 +1,4 @@
-"""Projection to a bounded text context, prompts, and answer validation. Labels and templates are our own."""
+"""Projection to a bounded text context, prompts, and answer validation. Templates are our own; section labels are fixed values."""
 
 from __future__ import annotations
 
@@ -57,6 +57,7 @@ def context_text(nodes: Column, patterns: Column, techniques: Column, prerequisi
     def block(label: str, lines: Column) -> Column:
         return F.when(F.size(lines) > 0, F.concat(F.lit(f"{label}:\n"), F.array_join(lines, "\n")))
 
+    # fixed values: the labels of sections, which prompts refer to
     sections = F.array(
         listed("related_nodes", nodes, 5), listed("related_patterns", patterns, 3), listed("recommended_thinking", techniques, 3),
         listed("prerequisites_to_check", prerequisites, 5), block("reference_chunks", chunk_lines(chunks)), block("recommended_videos", video_lines(videos)),

@@ -48,9 +48,17 @@ def bonus(query: Column) -> Column:
     return F.round(signal(F.col("has_brand_signal"), "brand") + signal(F.col("has_warning"), "warning") + signal(preview, "preview") + signal(near, "topics"), 2)
 
 
+def last_rows(chunks: DataFrame, order: Column | None = None) -> DataFrame:
+    """One row for each chunk_id, the last by order (by default in the order of reading)."""
+    at = order if order is not None else F.monotonically_increasing_id()
+    other = [c for c in chunks.columns if c != "chunk_id"]
+    last = chunks.select("chunk_id", F.struct(*other).alias("__row"), at.alias("__at")).groupBy("chunk_id").agg(F.max_by("__row", "__at").alias("__row"))
+    return last.select("chunk_id", "__row.*")
+
+
 def rerank(fused: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """fused with the chunk's columns, rerank_bonus, final_score and final_rank; ties keep the fused order."""
-    joined = fused.join(chunks, "chunk_id", "left").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+    """fused with the chunk's columns, rerank_bonus, final_score and final_rank; ties keep the fused order. Of chunks that share an id the last counts."""
+    joined = fused.join(last_rows(chunks), "chunk_id", "left").join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
     scored = joined.withColumn("rerank_bonus", bonus(F.col("query_text"))).withColumn("final_score", F.round(F.col("rrf_score") + F.col("rerank_bonus"), 9))
     order = W.partitionBy("query_id").orderBy(F.desc("final_score"), "fused_rank")
     return scored.withColumn("final_rank", F.row_number().over(order))

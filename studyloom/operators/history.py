@@ -29,10 +29,22 @@ def old(history: DataFrame, as_of: str, days: int = OLD_DAYS) -> DataFrame:
     return history.where(F.col("created_at") < at(as_of) - F.expr(f"INTERVAL {days} DAYS"))
 
 
+def visible(rows: DataFrame, users: DataFrame | None) -> DataFrame:
+    """The rows of the given users (user_id) only. Callers that read history on someone's behalf name the users: None is refused."""
+    if users is None:
+        raise ValueError("history is read for named users")
+    return rows.join(users.select("user_id").where("user_id IS NOT NULL").distinct(), "user_id", "left_semi")
+
+
 def day_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 
 
+def stamp_text(ts: Column) -> Column:
+    """As names of exports have it: day and time without separators."""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
 def period(ts: Column) -> Column:
     """YYYY-Qn"""
     return F.concat(F.year(ts).cast("string"), F.lit("-Q"), F.quarter(ts).cast("string"))

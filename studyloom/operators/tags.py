@@ -33,25 +33,24 @@ def matched(queries: DataFrame, aims: DataFrame, key: str) -> DataFrame:
 def search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, patterns: DataFrame, k: int = 30) -> DataFrame:
     """(query_id, chunk_id, score (hundredths), rank, channel). A tag counts as often as a chunk holds it; ties by chunk_id.
 
-    All targets (tags, ids, causes, symptoms, variant names) are compared with the queries in one join.
+    All targets (tags, ids, causes, symptoms, variant names) are compared with the queries in one join, which is used once.
     """
     tags = None
     for kind, column in (("topic", "topics"), ("pattern", "patterns")):
         own = chunks.select("chunk_id", F.lit(kind).alias("kind"), F.explode(column).alias("tag"))
         tags = own if tags is None else tags.unionByName(own)
     tags = tags.groupBy("kind", "tag", "chunk_id").agg(F.count("*").alias("times"))
-    of_nodes, of_patterns = node_aims(nodes), pattern_aims(patterns)
-    near = fuzzy_pairs(queries, tags.select(F.col("tag").alias("target")).union(of_nodes.select("target")).union(of_patterns.select("target")))
-
-    def points(rows: DataFrame, kind: str, tag: str, name: str) -> DataFrame:
-        return rows.select("query_id", F.lit(kind).alias("kind"), F.col(tag).alias("tag"), F.lit(POINTS[name]).alias("points"))
-
-    worth = (
-        points(near.join(of_nodes, "target").select("query_id", "node_id").distinct(), "topic", "node_id", "topic")
-        .unionByName(points(near.join(of_patterns, "target").select("query_id", "pattern_id").distinct(), "pattern", "pattern_id", "pattern"))
-        .unionByName(points(near, "topic", "target", "near_topic"))
-        .unionByName(points(near, "pattern", "target", "near_pattern"))
-    )
+    # what a matching target is worth: points for the node or pattern that it is of, and for tags that are called so
+    aims = None
+    for rows, kind, tag, name in (
+        (node_aims(nodes), "topic", "node_id", "topic"), (pattern_aims(patterns), "pattern", "pattern_id", "pattern"),
+        (tags.where("kind = 'topic'").select("tag", F.col("tag").alias("target")), "topic", "tag", "near_topic"), (tags.where("kind = 'pattern'").select("tag", F.col("tag").alias("target")), "pattern", "tag", "near_pattern"),
+    ):
+        own = rows.select("target", F.lit(kind).alias("kind"), F.col(tag).alias("tag"), F.lit(POINTS[name]).alias("points"))
+        aims = own if aims is None else aims.unionByName(own)
+    aims = aims.distinct()
+    # several targets of one node or pattern count once
+    worth = fuzzy_pairs(queries, aims).join(aims, "target").select("query_id", "kind", "tag", "points").distinct()
     worth = worth.groupBy("query_id", "kind", "tag").agg(F.sum("points").alias("points"))
     scored = worth.join(tags, ["kind", "tag"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))

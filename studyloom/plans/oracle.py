@@ -290,3 +290,20 @@ ORACLE_SQL["constraint_report"] = """SELECT 'user_profile(user_id)' AS rule, cou
   UNION ALL SELECT 'query_history.user_id -> users.user_id', count(*) FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer) HAVING count(*) > 0"""
 ORACLE_SQL["signal_tags"] = """SELECT doc_id, array_to_string([t FOR t IN [CASE WHEN contains(text, 'idiot') OR contains(text, 'moron') THEN 'insult' END, CASE WHEN contains(text, 'license') OR contains(text, 'License') THEN 'licence' END,
   CASE WHEN contains(text, 'token') THEN 'secret' END] IF t IS NOT NULL], ',') AS tags FROM documents"""
+
+# last rows, exports, scopes, prompts
+ORACLE_SQL["last_wins"] = "SELECT conv_id, max(turn) AS turn, arg_max(role, turn) AS role, md5(arg_max(text, turn)) AS md5 FROM conversations GROUP BY 1"
+ORACLE_SQL["user_export"] = """WITH e AS (SELECT 'query_history' AS name, o_orderkey AS id FROM orders WHERE o_custkey // 10 = 7 UNION ALL SELECT 'users', c_custkey FROM customer WHERE c_custkey = 7
+  UNION ALL SELECT 'user_profile', c_custkey FROM customer WHERE c_custkey = 7 AND c_acctbal >= 2000)
+SELECT CAST(7 AS INTEGER) AS user_id, (SELECT count(*) FROM e) AS total, name, count(id) AS n, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids FROM (VALUES ('query_history'), ('users'), ('user_profile')) t(name) LEFT JOIN e USING (name) GROUP BY name"""
+ORACLE_SQL["user_scope"] = with_(QUARTERS, body="SELECT user_id, count(*) AS n, round(sum(cost), 2) AS cost, strftime(max(created_at), '%Y%m%d_%H%M%S') AS last FROM o WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+
+
+def _phrase(phrases: list[str]) -> str:
+    return f"[{', '.join(map(text, phrases))}][CAST('0x' || substr(md5(text), 1, 7) AS BIGINT) % {len(phrases)} + 1]"
+
+
+_openings = "CASE " + " ".join(f"WHEN complexity = '{k}' THEN {_phrase(v)}" for k, v in formatting.OPENINGS.items()) + f" ELSE {_phrase(formatting.DEFAULT_OPENINGS)} END"
+ORACLE_SQL["prompt_build"] = f"""WITH d AS (SELECT doc_id, text, {_complexity} AS complexity FROM documents)
+SELECT doc_id, 'Question: ' || text || CASE WHEN complexity = 'simple' THEN chr(10) || 'Answer in three sentences. Begin with: '
+  ELSE chr(10) || chr(10) || '[RETRIEVAL_RESULTS]' || chr(10) || 'related_nodes: [' || doc_id || ']' || chr(10) || chr(10) || 'Explain the cause, the steps and one exercise. Begin with: ' END || {_openings} AS prompt FROM d"""

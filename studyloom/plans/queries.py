@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -14,6 +15,7 @@ from ..operators import diagnose as dx
 from ..operators import formatting as fm
 from ..sources import adapters as ad
 from ..sources import files, sinks
+from ..sources.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,44 +92,58 @@ def tfidf_topk(s, d):
     return _lexical(s, d).select("query_id", "chunk_id", "score", "rank")
 
 
-def _tags(s, d):
-    c = ad.chunks(s, d)
+def _tags(s, d, c):
     return tags.search(ad.queries(s, d), c, ad.nodes(c), ad.patterns(c), 30)
 
 
+def _chunks(s, d):
+    """The chunks as a written table: several channels and the rerank read them."""
+    return written(ad.chunks(s, d))
+
+
 @query
 def tag_score_topk(s, d):
-    return _tags(s, d).select("query_id", "chunk_id", "score", "rank")
+    return _tags(s, d, _chunks(s, d)).select("query_id", "chunk_id", "score", "rank")
 
 
-def _channels(s, d):
+def _channels(s, d, c):
     v = vector.search(ad.query_vectors(s, d), ad.vectors(s, d), 30).select("query_id", F.col("pos").alias("chunk_id"), "rank", F.lit("vector").alias("channel"))
-    return [v, _tags(s, d), _lexical(s, d)]
+    return [v, _tags(s, d, c), _lexical(s, d)]
 
 
 @query
 def rrf_fusion(s, d):
-    return fusion.fuse(_channels(s, d))
+    return fusion.fuse(_channels(s, d, _chunks(s, d)))
 
 
 @query
 def rerank_bonus(s, d):
-    ranked = fusion.rerank(fusion.fuse(_channels(s, d)), ad.chunks(s, d), ad.queries(s, d))
+    c = _chunks(s, d)
+    ranked = fusion.rerank(fusion.fuse(_channels(s, d, c)), c, ad.queries(s, d))
     return ranked.select("query_id", "chunk_id", "rrf_score", "rerank_bonus", "final_score", "final_rank")
 
 
 @query
 def hybrid_retrieve(s, d):
-    found = fusion.retrieve(_channels(s, d), ad.chunks(s, d), ad.queries(s, d), 10)
+    c = _chunks(s, d)
+    found = fusion.retrieve(_channels(s, d, c), c, ad.queries(s, d), 10)
     return found.select("query_id", "chunk_id", "first_channel", "final_score", "final_rank", "video_id", "part_no")
 
 
 @query
 def hybrid_retrieve_filtered(s, d):
-    found = fusion.retrieve(_channels(s, d), ad.chunks(s, d), ad.queries(s, d), 10, F.col("collection") == "en")
+    c = _chunks(s, d)
+    found = fusion.retrieve(_channels(s, d, c), c, ad.queries(s, d), 10, F.col("collection") == "en")
     return found.select("query_id", "chunk_id", "first_channel", "final_score", "final_rank")
 
 
+@query
+def last_wins(s, d):
+    """Turns as chunks that share an id: of each conversation the last one counts."""
+    c = ad.table(s, d, "conversations").select(F.col("conv_id").alias("chunk_id"), "turn", "role", "text")
+    return fusion.last_rows(c, F.col("turn")).select(F.col("chunk_id").alias("conv_id"), "turn", "role", F.md5(F.encode("text", "UTF-8")).alias("md5"))
+
+
 @query
 def lookup_left_default(s, d):
     sizes = ad.table(s, d, "part").select(F.col("p_partkey").alias("hit"), (F.col("p_size") % 30).alias("n_nationkey"))
@@ -158,7 +174,8 @@ def _diagnosed(s, d):
     nation, region = ad.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), "n_name"), ad.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("pos"), "r_name")
     near_patterns = vector.search(qv, v.join(nation.select("pos"), "pos", "left_semi"), 3).join(nation, "pos").select("query_id", F.col("n_name").alias("pattern_id"), "rank")
     near_techniques = vector.search(qv, v.join(region.select("pos"), "pos", "left_semi"), 5).join(region, "pos").select("query_id", F.col("r_name").alias("technique_id"), "rank")
-    ranked = fusion.retrieve(_channels(s, d), ad.chunks(s, d), q, 8)
+    c = _chunks(s, d)
+    ranked = fusion.retrieve(_channels(s, d, c), c, q, 8)
     return dx.diagnose(q, near_nodes, near_patterns, near_techniques, ranked, graph.edges_of(graph_nodes))
 
 
@@ -346,10 +363,14 @@ def answer_validation(s, d):
 
 @query
 def context_text(s, d):
-    """The context of each source: its documents as chunks and videos."""
+    """The context of each source: its documents as chunks and videos. What a context shows is ranked first, so that no source's rows are gathered whole."""
     c = ad.chunks(s, d).withColumn("query_id", F.col("video_id"))
     fields = ("chunk_id", "video_id", "part_no", "video_title", "collection", "short_title", "text_preview")
-    own = c.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("chunks"), F.array_sort(F.collect_set("short_title")).alias("nodes"))
+    first = c.withColumn("nr", F.row_number().over(W.partitionBy("query_id").orderBy("chunk_id"))).where("nr <= 5")
+    own = first.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("chunks"))
+    titles = c.where("short_title IS NOT NULL").select("query_id", "short_title").distinct()
+    titles = titles.withColumn("nr", F.row_number().over(W.partitionBy("query_id").orderBy("short_title"))).where("nr <= 12")
+    own = own.join(titles.groupBy("query_id").agg(F.array_sort(F.collect_list("short_title")).alias("nodes")), "query_id", "left").withColumn("nodes", F.coalesce("nodes", F.expr("cast(array() as array<string>)")))
     text = fm.context_text(F.col("nodes"), F.expr("cast(array() as array<string>)"), F.slice("nodes", 2, 2), F.slice("nodes", 4, 9), F.col("chunks"), F.col("chunks"))
     return own.select(F.col("query_id").alias("source"), text.alias("context"))
 
@@ -378,9 +399,19 @@ def json_roundtrip(s, d):
 
 @query
 def user_export(s, d):
-    """One learner's rows of three tables as one document."""
+    """One learner's rows of three tables as one document, read back: number of rows and their ids by table."""
     t = {"query_history": ad.history_quarters(s, d), "users": ad.users(s, d), "user_profile": ad.profiles(s, d)}
-    return sinks.export_user(s, t, 7)
+    out = sinks.export_user(s, t, 7)
+    parts = F.map_entries(F.from_json("document", "map<string, struct<n: bigint, rows: array<string>>>"))
+    ids = F.array_sort(F.transform("p.value.rows", lambda r: F.coalesce(F.get_json_object(r, "$.id"), F.get_json_object(r, "$.user_id")).cast("long")))
+    return out.select("user_id", "total", F.explode(parts).alias("p")).select("user_id", "total", F.col("p.key").alias("name"), F.col("p.value.n").alias("n"), joined(F.transform(ids, lambda x: x.cast("string"))).alias("ids"))
+
+
+@query
+def user_scope(s, d):
+    """The history that some learners' own session may read: cost by learner."""
+    own = history.visible(ad.history_quarters(s, d), ad.users(s, d).where("grade = 'BUILDING'"))
+    return own.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 2).alias("cost"), F.max(history.stamp_text(F.col("created_at"))).alias("last"))
 
 
 @query

@@ -35,25 +35,43 @@ def delete_by_id(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Replace the table at path by df, which may read it: written beside it, then renamed."""
+    """Replace the table at path by df, which may read it: written beside it, then renamed.
+
+    The old table stays as path.old until the new one is in place. A failed rename puts it back and raises; after a crash
+    between the renames ``recover`` does.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.next")
-    jvm = spark._jvm.org.apache.hadoop.fs
-    now, then, old = jvm.Path(path), jvm.Path(f"{path}.next"), jvm.Path(f"{path}.old")
-    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, now, then, old = _places(spark, path)
+    recover(spark, path)
     fs.delete(old, True)
-    if fs.exists(now):
-        fs.rename(now, old)
-    fs.rename(then, now)
+    if fs.exists(now) and not fs.rename(now, old):
+        raise OSError(f"{path} can't be moved away")
+    if not fs.rename(then, now):
+        recover(spark, path)
+        raise OSError(f"{path}.next can't take the place of {path}")
     fs.delete(old, True)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back the old table where a swap was cut short before the new one was in place."""
+    fs, now, _, old = _places(spark, path)
+    if not fs.exists(now) and fs.exists(old) and not fs.rename(old, now):
+        raise OSError(f"{path}.old can't be put back")
+
+
+def _places(spark: SparkSession, path: str) -> tuple:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    now, then, old = hadoop.Path(path), hadoop.Path(f"{path}.next"), hadoop.Path(f"{path}.old")
+    return now.getFileSystem(spark._jsc.hadoopConfiguration()), now, then, old
+
+
 def export_user(spark: SparkSession, tables: dict[str, DataFrame], user_id: str) -> DataFrame:
     """One JSON document with a user's rows of each table and their counts."""
     parts = None
     for name, df in sorted(tables.items()):
         own = df.where(F.col("user_id") == user_id)
-        one = own.agg(F.collect_list(F.to_json(F.struct(*own.columns))).alias("rows"), F.count("*").alias("n")).select(F.lit(name).alias("name"), "rows", "n")
+        one = own.agg(F.sort_array(F.collect_list(F.to_json(F.struct(*own.columns)))).alias("rows"), F.count("*").alias("n")).select(F.lit(name).alias("name"), "rows", "n")
         parts = one if parts is None else parts.unionByName(one)
     made = F.map_from_entries(F.collect_list(F.struct("name", F.struct("n", "rows"))))
     return parts.agg(F.sum("n").alias("total"), F.to_json(made).alias("document")).select(F.lit(user_id).alias("user_id"), "total", "document")

@@ -22,17 +22,23 @@ def rolling(events: DataFrame, span: str = "30 days", slide: str = "1 day", late
     return w.agg(F.count("*").alias("n")).select("user_id", F.col("w.end").alias("until"), "n")
 
 
-def session_totals(events: DataFrame) -> DataFrame:
-    """user_id, session_queries, session_cost after each batch; a key's change begins a new session."""
+def session_totals(events: DataFrame, idle_minutes: int = 60, lateness: str = "1 day") -> DataFrame:
+    """user_id, session_queries, session_cost after each batch; a key's change begins a new session, and so does an idle time (by created_at, behind the watermark), after which the state is dropped."""
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, cost = state.get if state.exists else (0, 0.0)
+        last = state.getCurrentWatermarkMs() + 1
         for f in frames:
+            last = max(last, int(f["created_at"].max().timestamp() * 1000))
             n, cost = n + len(f), cost + float(f["cost"].fillna(0).sum())
         state.update((n, cost))
+        state.setTimeoutTimestamp(last + idle_minutes * 60_000)
         yield pd.DataFrame([(key[0], n, round(cost, 2))], columns=["user_id", "session_queries", "session_cost"])
 
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, session_queries long, session_cost double", "n long, cost double", "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("created_at", lateness).groupBy("user_id").applyInPandasWithState(update, "user_id long, session_queries long, session_cost double", "n long, cost double", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def in_batches(events: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str):
