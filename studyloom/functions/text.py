@@ -37,21 +37,38 @@ def fuzzy_contains(text: Column, target: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def fuzzy_pairs(texts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(query_id, target) where text fuzzily contains target: texts (query_id, text), targets (target).
+#: Queries whose numbers stand together in a posting of fuzzy_pairs, as a power of two.
+BATCH_BITS = 12
+
 
-    An equi-join on two-character pieces in place of a nested loop: pieces of a target count as often as it holds them,
+def fuzzy_holders(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, batch, ids): the queries whose text fuzzily contains target, a row for each batch of queries that has any: texts (query_id, text), targets (target).
+
+    Two-character pieces have postings, the queries that hold them, in batches of bounded size. A target's places are joined to
+    the postings; of the sorted queries at all its places those match that stand there often enough, which is told inside the
+    row. So what is shuffled is an array for each place, not a row for each place and query. Pieces of a target count as often as it holds them,
     those of a text once. From 4 characters on a contained target has all its pieces in the text, so the substring rule
     needs a join of its own for 3 characters only.
     """
     targets = targets.select("target").where("length(target) >= 3").distinct()
-    longer = targets.where("length(target) >= 4")
-    of_target = longer.select("target", F.explode(bigrams(F.col("target"))).alias("gram")).groupBy("target", "gram").agg(F.count("*").alias("times"))
-    of_text = texts.where("length(text) >= 2").select("query_id", F.explode(F.array_distinct(bigrams(F.col("text")))).alias("gram"))
-    near = of_text.join(of_target, "gram").groupBy("query_id", "target").agg(F.sum("times").alias("n")).where("5 * n >= 3 * length(target)").select("query_id", "target")
-    trigrams = F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3)))
-    exact = texts.where("length(text) >= 3").select("query_id", F.explode(F.array_distinct(trigrams)).alias("target")).join(targets.where("length(target) = 3"), "target")
-    return near.unionByName(exact.select("query_id", "target"))
+    batched = texts.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), BATCH_BITS))
+
+    def postings(size: int) -> DataFrame:
+        pieces = F.when(F.length("text") >= size, F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substring(F.col("text"), i, F.lit(size))))
+        held = batched.select("query_id", "batch", F.explode(F.array_distinct(pieces)).alias("gram"))
+        return held.groupBy("gram", "batch").agg(F.collect_list("query_id").alias("ids"))  # at most 2**BATCH_BITS each
+
+    places = targets.where("length(target) >= 4").select("target", F.explode(bigrams(F.col("target"))).alias("gram"))
+    met = places.join(postings(2), "gram").groupBy("target", "batch").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
+    met = met.withColumn("needed", F.ceil(F.length("target") * 3 / F.lit(5)).cast("int"))
+    near = met.select("target", "batch", F.array_distinct(F.filter("ids", lambda q, i: q == F.get("ids", i + F.col("needed") - 1))).alias("ids")).where("size(ids) > 0")
+    exact = postings(3).withColumnRenamed("gram", "target").join(targets.where("length(target) = 3"), "target")
+    return near.unionByName(exact.select("target", "batch", "ids"))
+
+
+def fuzzy_pairs(texts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(query_id, target) where text fuzzily contains target: texts (query_id, text), targets (target)."""
+    return fuzzy_holders(texts, targets).select(F.explode("ids").alias("query_id"), "target")
 
 
 def any_keyword(text: Column, keywords: list[str]) -> Column:

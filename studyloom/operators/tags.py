@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import fuzzy_pairs
+from ..functions.text import fuzzy_holders, fuzzy_pairs
 
 #: Points in hundredths, so that equal totals are equal: matched topic, matched pattern, resembling topic, pattern.
 POINTS = {"topic": 50, "pattern": 30, "near_topic": 20, "near_pattern": 15}
@@ -49,9 +49,10 @@ def search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, patterns: Da
         own = rows.select("target", F.lit(kind).alias("kind"), F.col(tag).alias("tag"), F.lit(POINTS[name]).alias("points"))
         aims = own if aims is None else aims.unionByName(own)
     aims = aims.distinct()
-    # several targets of one node or pattern count once
-    worth = fuzzy_pairs(queries, aims).join(aims, "target").select("query_id", "kind", "tag", "points").distinct()
-    worth = worth.groupBy("query_id", "kind", "tag").agg(F.sum("points").alias("points"))
-    scored = worth.join(tags, ["kind", "tag"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("points") * F.col("times")).alias("score"))
+    # several targets of one node or pattern count once; queries stay in arrays until a chunk's tags are together
+    met = fuzzy_holders(queries, aims).join(aims, "target").groupBy("kind", "tag", "points", "batch").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    worth = met.join(tags, ["kind", "tag"]).select("chunk_id", (F.col("points") * F.col("times")).alias("points"), "ids").repartition("chunk_id")
+    scored = worth.select("chunk_id", "points", F.explode("ids").alias("query_id")).groupBy("chunk_id", "query_id").agg(F.sum("points").alias("score"))
+    scored = scored.select("query_id", "chunk_id", "score")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("channel", F.lit("tag"))
