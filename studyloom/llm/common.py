@@ -83,7 +83,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Bits of a key filter: 8 a key, within these bounds. The larger one is 2**19 words, some 30 MB as a broadcast table.
+#: Bits of a key filter: 32 a key or more, within these bounds. The larger one is 2**19 words, some 30 MB as a broadcast table.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 25
 
 
@@ -102,9 +102,9 @@ def _slot(key: Column, bits: int) -> tuple[Column, Column]:
 def key_filter(keys: DataFrame, column: str) -> KeyFilter:
     """A filter of the keys of a written table, sized by their number up to MOST_BITS.
 
-    It keeps rows that surely have no partner out of a shuffle. Beyond some ten million keys it lets more and more pass, and the join decides.
+    It keeps rows that surely have no partner out of a shuffle. Beyond some million keys it lets more and more pass, and the join decides.
     """
-    bits = min(max(1 << (8 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = min(max(1 << (32 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
     word, bit = _slot(F.col(column), bits)
     found = keys.select(word.alias("__word"), bit.alias("__bit")).distinct()
     return KeyFilter(found.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits")), bits)
