@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def chunk(docs: DataFrame, lines: int = 4) -> DataFrame:
     """(doc_id, chunk_no, chunk_text): so many lines a chunk."""
@@ -47,8 +49,8 @@ def normalized(df: DataFrame, column: str = "text", form: str = "NFKC") -> DataF
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """df computed once: in ``spark.checkpoint.dir`` where that is set, else by the executors."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df computed once, as a table in the shared folder."""
+    return written(df)
 
 
 def components(links: DataFrame) -> DataFrame:
