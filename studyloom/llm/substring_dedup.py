@@ -50,7 +50,8 @@ def units_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.append(line[1:] != line[:-1], True)
     length = np.diff(np.append(-1, np.flatnonzero(ends)))
     cut = np.repeat(length > LONG, length)
-    pair = mix(h * np.uint64(3) + np.append(h[1:], np.uint64(0)))
+    # a line's last word has no word after it, whatever text comes next in the batch
+    pair = mix(h * np.uint64(3) + np.append(np.where(line[1:] == line[:-1], h[1:], np.uint64(0)), np.uint64(0)))
     for k in range(1, REACH + 1):
         less, same = pair[:-k] < pair[k:], line[:-k] == line[k:]
         cut[:-k] &= less | ~same

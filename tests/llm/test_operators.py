@@ -626,6 +626,89 @@ def test_substring_dedup_short_lines_and_passages(spark):
     assert all(i % 2 == 0 for i in found)  # never the first of a pair
 
 
+def brute_spans(rows):
+    """The spans of (doc_id, text) rows by plain loops; units are equal when their words are."""
+
+    def word_hash(w):
+        data = np.frombuffer(w.encode(), np.uint8)
+        return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    def pair_hash(words, i):
+        after = word_hash(words[i + 1]) if i + 1 < len(words) else 0
+        return int(mix(np.array([(3 * word_hash(words[i]) + after) % 2**64], np.uint64))[0])
+
+    long, reach = substring_dedup.LONG, substring_dedup.REACH
+    found = set()
+    for doc, text in rows:
+        if doc is None or text is None:
+            continue
+        nr, at = 0, 0
+        for line in text.split("\n"):
+            places = [(m.start() + at, m.end() + at) for m in re.finditer("[0-9A-Za-z\u0080-\U0010ffff]+", line)]
+            at += len(line) + 1
+            words = [re.sub("[A-Z]", lambda m: m[0].lower(), text[s:e]) for s, e in places]
+            pieces, own = [], []
+            pairs = [pair_hash(words, i) for i in range(len(words))]
+            for i in range(len(words)):
+                own.append(i)
+                near = pairs[max(i - reach, 0) : i] + pairs[i + 1 : i + 1 + reach]
+                if i == len(words) - 1 or len(words) > long and all(pairs[i] < p for p in near):
+                    step = long if len(own) > 2 * long else len(own)
+                    pieces += [own[k : k + step] for k in range(0, len(own), step)]
+                    own = []
+            for k, piece in enumerate(pieces):
+                found.add((doc, nr, places[piece[0]][0], places[piece[-1]][1], tuple(words[i] for i in piece), k == 0, k == len(pieces) - 1))
+                nr += 1
+    holders = {}
+    for unit in found:
+        holders.setdefault(unit[4], []).append((unit[0], unit[2]))
+    marked = sorted(u for u in found if (u[0], u[2]) != min(holders[u[4]]))
+    runs = []
+    for u in marked:
+        if runs and runs[-1][-1][0] == u[0] and u[1] - runs[-1][-1][1] <= 1:
+            runs[-1].append(u)
+        else:
+            runs.append([u])
+    out = []
+    for run in runs:
+        if sum(len(u[4]) for u in run) < substring_dedup.LEAST_WORDS:
+            begins, closes = [u[1] for u in run if u[5]], [u[1] for u in run if u[6]]
+            run = [u for u in run if begins and closes and begins[0] <= u[1] <= closes[-1]]
+        size = sum(len(u[4]) for u in run)
+        if run and (size >= substring_dedup.LINE_WORDS or run[-1][3] - run[0][2] >= substring_dedup.LINE_CHARS):
+            out.append((run[0][0], run[0][2], run[-1][3], size, len(run), min(min(holders[u[4]])[0] for u in run)))
+    return sorted(out)
+
+
+def test_substring_dedup_against_plain_loops(spark):
+    rng = np.random.default_rng(88)
+    vocabulary = ["".join(rng.choice(list("abcdeé漢"), int(rng.integers(1, 7)))) for _ in range(400)]
+
+    def prose(n):
+        return "".join(str(rng.choice(vocabulary)) + str(rng.choice([" ", " ", " ", ", ", "  ", "-", ". "])) for _ in range(n))
+
+    passages = [prose(n) for n in (2, 5, 6, 8, 12, 14, 15, 20, 30, 45, 60)] + ["go on " * 40, "la " * 90, "\n".join(prose(7) for _ in range(5))]
+    texts = [None, "", " \n ", "...", "one", *CASES[5:12]]
+    for _ in range(150):
+        parts = [prose(int(rng.integers(0, 40)))]
+        for _ in range(int(rng.integers(1, 5))):
+            p = str(rng.choice(passages))
+            p = p.upper() if rng.random() < 0.2 else p
+            parts += [p.rstrip() + "!" if rng.random() < 0.2 else p, prose(int(rng.integers(0, 25)))]
+        texts.append("".join(x + str(rng.choice(["\n", " ", "\n\n"])) for x in parts))
+    rows = list(enumerate(texts)) + [(20, texts[20]), (None, texts[30]), (len(texts), texts[40])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    columns = ["doc_id", "start", "end", "n_words", "n_units", "first_doc_id"]
+    spans = substring_dedup.repeated_spans(spark, df)
+    expected = brute_spans(rows)
+    assert sorted(tuple(r) for r in spans.select(columns).collect()) == expected and len(expected) > 150
+    left = {}
+    for doc, start, end, *_ in reversed(expected):
+        left[doc] = (t := left.get(doc, dict(rows)[doc]))[:start] + t[end:]
+    for r in substring_dedup.remove(df.where("doc_id IS NOT NULL"), spans).collect():
+        assert r.text == left.get(r.doc_id, texts[r.doc_id] if r.doc_id < len(texts) else texts[40])
+
+
 # op9
 def test_toxicity_learns_words(spark):
     rng = np.random.default_rng(9)
