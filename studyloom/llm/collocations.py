@@ -44,7 +44,7 @@ ID_BITS = 42
 #: Ids from here on are given to words that would share one.
 RESERVED = (1 << ID_BITS) - (1 << 20)
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
-HELD, HELD_WORDS = 1 << 22, 1 << 18
+HELD, HELD_WORDS = 1 << 21, 1 << 17
 #: Words of the corpus for each block of the filters, and the fewest blocks (bits).
 PER_BLOCK, LEAST_BLOCK_BITS = 1 << 18, 9
 
@@ -156,7 +156,7 @@ def _lang_hash(lang: str) -> np.uint64:
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
     """Bytes in small letters, starts and ends of words, their hashes by language, their texts' numbers and the texts' languages, some texts at a time."""
     known: dict[str, np.uint64] = {}
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
         for x in langs:
             if x not in known:
