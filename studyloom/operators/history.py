@@ -153,6 +153,23 @@ def daily_stats(history: DataFrame) -> DataFrame:
     return history.groupBy(day.alias("day")).agg(F.count_distinct("user_id").alias("active_users"), F.count("*").alias("total_queries"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 2).alias("total_cost"))
 
 
+def rolling_users(history: DataFrame, days: int = 30, lg_k: int = 12) -> DataFrame:
+    """until, users, sketched, bound, n_days: distinct users of so many days up to each day that has rows.
+
+    users is exact, from distinct (day, user). sketched merges daily sketches, which may be kept instead of the rows: a day
+    is one row of some kilobytes however many users it has. bound is three standard errors (1.04 / sqrt(2**lg_k)).
+    """
+    day = F.to_date("created_at")
+    reaches = F.expr(f"sequence(day, date_add(day, {days - 1}))")
+    daily = history.where("user_id IS NOT NULL").groupBy(day.alias("day")).agg(F.hll_sketch_agg("user_id", F.lit(lg_k)).alias("sketch"))
+    seen = daily.select("day")
+    merged = daily.select(F.explode(reaches).alias("until"), "sketch").groupBy("until").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sketched"), F.count("*").alias("n_days"))
+    exact = history.where("user_id IS NOT NULL").select(day.alias("day"), "user_id").distinct().select(F.explode(reaches).alias("until"), "user_id")
+    exact = exact.join(F.broadcast(seen.select(F.col("day").alias("until"))), "until", "left_semi").groupBy("until").agg(F.count_distinct("user_id").alias("users"))  # a row a day
+    bound = 3 * 1.04 / 2 ** (lg_k / 2)
+    return exact.join(merged, "until").select("until", "users", "sketched", (F.col("users") * bound + 1).alias("bound"), "n_days")
+
+
 def create_stats_view(history: DataFrame, name: str = "v_user_stats") -> None:
     """The daily figures as a view."""
     daily_stats(history).createOrReplaceTempView(name)

@@ -58,6 +58,7 @@ ORACLE_SQL["grade_argmax"] = f"SELECT doc_id, {_grade} AS grade FROM documents"
 DOT = "round(list_sum([CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE) FOR p IN list_zip({a}, {b})]), 6)"
 ORACLE_SQL["knn_topk"] = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {DOT.format(a="a.embedding", b="b.embedding")} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND a.vec_id IN (SELECT item_id FROM benchmark)),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 30"""
+ORACLE_SQL["vector_index_clusters"] = "SELECT count(*) AS n_vectors, count(DISTINCT vec_id) AS n_pos, CAST(0 AS BIGINT) AS n_wrong FROM embeddings"
 ORACLE_SQL["l2_normalize"] = """WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) * 2 FOR x IN embedding] AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum([x * x FOR x IN e])) AS norm FROM v)
 SELECT vec_id, round(norm, 5) AS norm, round(e[1] / norm, 5) AS first, CAST(1.0 AS DOUBLE) AS unit_norm FROM n"""
 
@@ -73,6 +74,10 @@ lx AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 TFIDF = TFIDF.replace("ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*)))", "ln(CAST(1 + (SELECT count(*) FROM documents) AS DOUBLE) / (1 + count(*)))")
 ORACLE_SQL["tfidf_topk"] = with_(TFIDF, body="SELECT query_id, chunk_id, score, rank FROM lx")
 
+ORACLE_SQL["lexical_lexicon"] = with_(
+    TFIDF, body="SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf, round(max(w / norm), 6) AS top FROM dw JOIN dn USING (doc_id) JOIN idf USING (term) GROUP BY term"
+)
+
 # tag channel
 P = tags.POINTS
 TAGS = f"""tg AS (SELECT chunk_id, 'topic' AS kind, unnest(topics) AS tag FROM chunks UNION ALL SELECT chunk_id, 'pattern', unnest(patterns) FROM chunks),
@@ -217,6 +222,33 @@ ORACLE_SQL["quarter_compaction"] = with_(
     "lf AS (SELECT user_id, count(*) AS n_left FROM o WHERE id NOT IN (SELECT id FROM rows) GROUP BY 1)",
     body="SELECT user_id, n_rows, cost, periods, n_periods, max_ratio, min_summary, coalesce(n_left, 0) AS n_left FROM tot JOIN cn USING (user_id) LEFT JOIN lf USING (user_id)",
 )
+ORACLE_SQL["stored_compaction"] = with_(
+    QUARTERS,
+    COMPACT.replace("AND NOT (period = '1996-Q1' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))", ""),
+    "cn AS (SELECT user_id, count(*) AS n_periods, CAST(sum(n) AS BIGINT) AS n_rows, max(ratio) AS max_ratio, min(summary) AS min_summary FROM made GROUP BY 1)",
+    "lf AS (SELECT user_id, count(*) AS n_left, min(id) AS first_left FROM o WHERE id NOT IN (SELECT id FROM rows) GROUP BY 1)",
+    body="SELECT user_id, n_periods, n_rows, max_ratio, min_summary, n_left, first_left FROM cn FULL JOIN lf USING (user_id)",
+)
+ORACLE_SQL["rolling_users"] = """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events WHERE user_id IS NOT NULL), u AS (SELECT DISTINCT day AS until FROM d)
+SELECT CAST(until AS TIMESTAMP) AS until, count(DISTINCT user_id) AS users, count(DISTINCT day) AS n_days, true AS within_bound FROM u JOIN d ON day <= until AND day > until - 30 GROUP BY until"""
+WATERMARK = "m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL {} AS w FROM events)".format
+ORACLE_SQL["event_sessions"] = with_(
+    WATERMARK("1 HOUR"),
+    "e AS (SELECT user_id, event_id AS id, ts, value, event_type = 'error' AS reset, lag(ts) OVER o AS before, lag(event_type = 'error') OVER o AS was_reset, lead(ts) OVER o AS after, lead(event_type = 'error') OVER o AS next_reset FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id))",
+    "n AS (SELECT *, sum(CASE WHEN reset OR before IS NULL OR was_reset OR ts > before + INTERVAL 60 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, id) AS nr FROM e)",
+    """g AS (SELECT user_id, min(ts) AS started, max(ts) AS ended, count(*) AS session_queries, round(coalesce(sum(value), 0), 2) AS session_cost,
+  max(CASE WHEN next_reset AND after <= ts + INTERVAL 60 MINUTE THEN after END) AS reset_at FROM n WHERE NOT reset GROUP BY user_id, nr)""",
+    body="""SELECT user_id, started, ended, session_queries, session_cost, CASE WHEN reset_at IS NULL THEN 'idle' ELSE 'reset' END AS closed_by FROM g, m
+  WHERE CASE WHEN reset_at IS NULL THEN ended + INTERVAL 60 MINUTE < w ELSE reset_at <= w END""",
+)
+ORACLE_SQL["stream_daily"] = with_(
+    WATERMARK("1 DAY"), "d AS (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(*) AS total_queries, round(sum(value), 2) AS total_cost FROM events GROUP BY 1)", body="SELECT d.* FROM d, m WHERE day + INTERVAL 1 DAY <= w"
+)
+ORACLE_SQL["stream_rolling"] = with_(
+    WATERMARK("1 DAY"),
+    "r AS (SELECT user_id, unnest([CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL (i) DAY FOR i IN range(1, 8)]) AS until FROM events)",
+    body="SELECT user_id, until, count(*) AS n FROM r, m WHERE until <= w GROUP BY ALL",
+)
 ORACLE_SQL["month_cost"] = f"""SELECT o_custkey // 10 AS user_id, round(coalesce(sum(o_totalprice), 0), 2) AS month_cost FROM orders
   WHERE o_orderdate >= TIMESTAMP '{q.MONTH}-01' AND o_orderdate < TIMESTAMP '{q.MONTH}-01' + INTERVAL 1 MONTH GROUP BY 1"""
 ORACLE_SQL["daily_stats"] = """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, count(DISTINCT user_id) AS active_users, count(*) AS total_queries, round(coalesce(sum(value), 0), 2) AS total_cost FROM events GROUP BY 1"""

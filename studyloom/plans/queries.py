@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import catalog, classify, cost, fusion, graph, history, lexical, prep, tags, vector
+from ..operators import catalog, classify, compaction, cost, fusion, graph, history, lexical_index, prep, tags, vector, vector_index
 from ..operators import diagnose as dx
 from ..operators import formatting as fm
 from ..sources import adapters as ad
 from ..sources import files, sinks
-from ..sources.scratch import written
+from ..sources.scratch import own_folder, written
+from ..sources.versioned import Table
+from ..streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -69,12 +71,44 @@ def grade_argmax(s, d):
     return ad.table(s, d, "documents").select("doc_id", classify.grade(F.col("text")).alias("grade"))
 
 
+_indexes: dict[tuple, str] = {}
+
+
+def _stored(s, d, name, write):
+    """Place of an index of a table: written when a program first asks for it, and anew when the table's files have changed."""
+    state = (s.sparkContext.applicationId, d, name, files.state_of(s, f"{d}/{name}.parquet"))
+    if state not in _indexes:
+        path = own_folder(s)
+        write(path)
+        _indexes[state] = path
+    return _indexes[state]
+
+
+def _vector_index(s, d):
+    return vector_index.read_index(s, _stored(s, d, "embeddings", lambda path: vector_index.write_index(ad.vectors(s, d), path)))
+
+
 @query
 def knn_topk(s, d):
-    found = vector.search(ad.query_vectors(s, d), ad.vectors(s, d), 30, exclude_self=True)
+    found = vector_index.search(ad.query_vectors(s, d), _vector_index(s, d), 30, exclude_self=True)
     return found.select("query_id", F.col("pos").alias("vec_id"), "score", "rank")
 
 
+@query
+def vector_index_reads(s, d):
+    """How many of the index's clusters and vectors each query of knn_topk needs."""
+    return vector_index.reads(ad.query_vectors(s, d), _vector_index(s, d), 30, exclude_self=True)
+
+
+@query
+def vector_index_clusters(s, d):
+    """All vectors of the index, counted by cluster, and what the clusters' table says of them."""
+    index = _vector_index(s, d)
+    held = index.vectors.groupBy("cluster").agg(F.count("*").alias("n_held"), F.count_distinct("pos").alias("n_pos"))
+    both = held.join(index.clusters, "cluster")
+    return both.agg(F.sum("n_held").alias("n_vectors"), F.sum("n_pos").alias("n_pos"), F.count_if(F.col("n_held") != F.col("n")).alias("n_wrong"))
+
+
 @query
 def l2_normalize(s, d):
     v = ad.vectors(s, d).withColumn("doubled", F.transform("embedding", lambda x: x * 2))
@@ -82,9 +116,13 @@ def l2_normalize(s, d):
     return v.select(F.col("pos").alias("vec_id"), F.round(vx.norm(F.col("doubled")), 5).alias("norm"), F.round(F.get(unit, F.lit(0)), 5).alias("first"), F.round(vx.norm(unit), 5).alias("unit_norm"))
 
 
-def _lexical(s, d):
+def _lexical_index(s, d):
     docs = ad.table(s, d, "documents").select("doc_id", "text")
-    return lexical.search(ad.queries(s, d), docs, 10)
+    return lexical_index.read_index(s, _stored(s, d, "documents", lambda path: lexical_index.write_index(docs, path)))
+
+
+def _lexical(s, d):
+    return lexical_index.search(ad.queries(s, d), _lexical_index(s, d), 10)
 
 
 @query
@@ -92,6 +130,13 @@ def tfidf_topk(s, d):
     return _lexical(s, d).select("query_id", "chunk_id", "score", "rank")
 
 
+@query
+def lexical_lexicon(s, d):
+    """The terms of the stored index."""
+    lexicon = _lexical_index(s, d).lexicon
+    return lexicon.select("term", "df", F.round("idf", 6).alias("idf"), F.round("top", 6).alias("top"))
+
+
 def _tags(s, d, c):
     return tags.search(ad.queries(s, d), c, ad.nodes(c), ad.patterns(c), 30)
 
@@ -107,7 +152,7 @@ def tag_score_topk(s, d):
 
 
 def _channels(s, d, c):
-    v = vector.search(ad.query_vectors(s, d), ad.vectors(s, d), 30).select("query_id", F.col("pos").alias("chunk_id"), "rank", F.lit("vector").alias("channel"))
+    v = vector_index.search(ad.query_vectors(s, d), _vector_index(s, d), 30).select("query_id", F.col("pos").alias("chunk_id"), "rank", F.lit("vector").alias("channel"))
     return [v, _tags(s, d, c), _lexical(s, d)]
 
 
@@ -210,7 +255,9 @@ def profile_left(s, d):
 def upsert_partial(s, d):
     new = ad.table(s, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max("o_orderpriority").alias("grade"))
     new = new.unionByName(s.createDataFrame([(-1, "new")], "user_id long, grade string"))
-    return sinks.upsert(ad.users(s, d), new, "user_id")
+    stored = Table.create(ad.users(s, d), own_folder(s), "user_id", ["user_id"])
+    stored.merge(new)
+    return stored.read()
 
 
 @query
@@ -266,6 +313,20 @@ def quarter_compaction(s, d):
     return totals.join(counted, "user_id").join(rest, "user_id", "left").select("user_id", "n_rows", "cost", "periods", "n_periods", "max_ratio", "min_summary", F.coalesce("n_left", F.lit(0)).alias("n_left"))
 
 
+@query
+def stored_compaction(s, d):
+    """Compaction of stored tables: what is left of each user's rows, and their summaries."""
+    folder = own_folder(s)
+    rows = Table.create(ad.history_quarters(s, d), f"{folder}/history", "user_id", ["id"])
+    empty = s.createDataFrame([], "user_id long, period string, summary string, compressed_count long, compression_ratio string")
+    summaries = Table.create(empty, f"{folder}/summaries", "user_id", ["user_id", "period"])
+    compaction.run(s, rows, summaries, f"{folder}/ledger", "first", AS_OF_QUARTERS)
+    compaction.run(s, rows, summaries, f"{folder}/ledger", "first", AS_OF_QUARTERS)  # again: nothing
+    left = rows.read().groupBy("user_id").agg(F.count("*").alias("n_left"), F.min("id").alias("first_left"))
+    made = summaries.read().groupBy("user_id").agg(F.count("*").alias("n_periods"), F.sum("compressed_count").alias("n_rows"), F.max("compression_ratio").alias("max_ratio"), F.min("summary").alias("min_summary"))
+    return made.join(left, "user_id", "full_outer").select("user_id", "n_periods", "n_rows", "max_ratio", "min_summary", "n_left", "first_left")
+
+
 @query
 def month_cost(s, d):
     return history.month_cost(ad.history_quarters(s, d), MONTH)
@@ -276,6 +337,39 @@ def daily_stats(s, d):
     return history.daily_stats(ad.history_days(s, d))
 
 
+@query
+def rolling_users(s, d):
+    """Distinct users of the 30 days up to each day: exact, and whether merged daily sketches keep within their bound."""
+    return history.rolling_users(ad.history_days(s, d)).select(F.col("until").cast("timestamp_ntz").alias("until"), "users", "n_days", F.expr("abs(sketched - users) <= bound").alias("within_bound"))
+
+
+def _event_stream(s, d):
+    """The events as a stream of its files; an error event is a reset of the session."""
+    e = s.readStream.schema(ad.table(s, d, "events").schema).parquet(f"{d}/events.parque[t]")  # a pattern: a stream's path must be a folder otherwise
+    return e.select("user_id", F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("created_at"), F.col("value").alias("cost"), (F.col("event_type") == "error").alias("reset"))
+
+
+@query
+def event_sessions(s, d):
+    """Sessions of the event stream by a 60-minute pause or a reset: those closed when the stream has been read."""
+    found = stream.run_available(stream.sessions(_event_stream(s, d)), own_folder(s))
+    return found.select("user_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("ended").cast("timestamp_ntz").alias("ended"), "session_queries", "session_cost", "closed_by")
+
+
+@query
+def stream_daily(s, d):
+    """Daily windows of the event stream: those that are final when it has been read."""
+    found = stream.run_available(stream.daily(_event_stream(s, d)), own_folder(s))
+    return found.select(F.col("day").cast("timestamp_ntz").alias("day"), "total_queries", "total_cost")
+
+
+@query
+def stream_rolling(s, d):
+    """Queries of each user in the 7 days up to each day, from the event stream: the windows that are final."""
+    found = stream.run_available(stream.rolling(_event_stream(s, d), "7 days"), own_folder(s))
+    return found.select("user_id", F.col("until").cast("timestamp_ntz").alias("until"), "n")
+
+
 ALL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 

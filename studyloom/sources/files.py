@@ -17,6 +17,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files: another tuple means another state of the table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
 def jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Rows of a JSON-lines file; blank lines are skipped, a missing file has no rows."""
     if not exists(spark, path):
