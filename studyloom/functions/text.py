@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def or_else(c: Column, default: object) -> Column:
     """Default for null."""
@@ -37,33 +41,53 @@ def fuzzy_contains(text: Column, target: Column) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-#: Queries whose numbers stand together in a posting of fuzzy_pairs, as a power of two.
-BATCH_BITS = 12
+#: Queries and targets of a cell of fuzzy_holders, about: both are dealt by hash.
+CELL_QUERIES, CELL_TARGETS = 2048, 1 << 14
 
 
 def fuzzy_holders(texts: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, batch, ids): the queries whose text fuzzily contains target, a row for each batch of queries that has any: texts (query_id, text), targets (target).
 
-    Two-character pieces have postings, the queries that hold them, in batches of bounded size. A target's places are joined to
-    the postings; of the sorted queries at all its places those match that stand there often enough, which is told inside the
-    row. So what is shuffled is an array for each place, not a row for each place and query. Pieces of a target count as often as it holds them,
-    those of a text once. From 4 characters on a contained target has all its pieces in the text, so the substring rule
-    needs a join of its own for 3 characters only.
+    Queries are dealt over batches and targets over parts, by hashes, so a query is in one batch whatever is computed twice; each pair
+    of them is a cell of bounded size. In a cell the queries' two-character pieces are the rows of a table of bytes, a column a
+    query; a target's rows are added up, and who has enough is read off. Pieces of a target count as often as it holds them, those
+    of a text once. From 4 characters on a contained target has all its pieces in the text, so the substring rule is for 3 characters only.
     """
-    targets = targets.select("target").where("length(target) >= 3").distinct()
-    batched = texts.withColumn("batch", F.shiftright(F.monotonically_increasing_id(), BATCH_BITS))
-
-    def postings(size: int) -> DataFrame:
-        pieces = F.when(F.length("text") >= size, F.transform(F.sequence(F.lit(1), F.length("text") - size + 1), lambda i: F.substring(F.col("text"), i, F.lit(size))))
-        held = batched.select("query_id", "batch", F.explode(F.array_distinct(pieces)).alias("gram"))
-        return held.groupBy("gram", "batch").agg(F.collect_list("query_id").alias("ids"))  # at most 2**BATCH_BITS each
-
-    places = targets.where("length(target) >= 4").select("target", F.explode(bigrams(F.col("target"))).alias("gram"))
-    met = places.join(postings(2), "gram").groupBy("target", "batch").agg(F.sort_array(F.flatten(F.collect_list("ids"))).alias("ids"))
-    met = met.withColumn("needed", F.ceil(F.length("target") * 3 / F.lit(5)).cast("int"))
-    near = met.select("target", "batch", F.array_distinct(F.filter("ids", lambda q, i: q == F.get("ids", i + F.col("needed") - 1))).alias("ids")).where("size(ids) > 0")
-    exact = postings(3).withColumnRenamed("gram", "target").join(targets.where("length(target) = 3"), "target")
-    return near.unionByName(exact.select("target", "batch", "ids"))
+    spark = texts.sparkSession
+    targets = written(targets.select("target").where("length(target) >= 3").distinct())
+    texts = texts.select("query_id", "text").where("length(text) > 0")
+    batches, parts = max(1, -(-texts.count() // CELL_QUERIES)), max(spark.sparkContext.defaultParallelism, -(-targets.count() // CELL_TARGETS))
+
+    def spread(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    asked = texts.withColumn("batch", F.pmod(F.xxhash64("query_id"), F.lit(batches)).cast("int")).withColumn("part", spread(parts))
+    held = targets.withColumn("in_part", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int")).withColumn("in_batch", spread(batches))
+    id_type = texts.schema["query_id"].dataType.simpleString()
+
+    def compare(asked: pa.Table, held: pa.Table) -> pa.Table:
+        ids, found = asked.column("query_id").combine_chunks(), ([], [])
+        own = asked.column("text").to_pylist()
+        number: dict[str, int] = {}
+        pairs = {(number.setdefault(t[i : i + 2], len(number)), q) for q, t in enumerate(own) for i in range(len(t) - 1)}
+        has = np.zeros((len(number) + 1, len(own)), np.uint8)  # the last row is of pieces that no query has
+        if pairs:
+            has[tuple(np.array(list(pairs)).T)] = 1
+        for t in held.column("target").to_pylist():
+            if len(t) == 3:
+                hit = np.array([t in x for x in own], bool)
+            else:
+                rows = has[[number.get(t[i : i + 2], -1) for i in range(len(t) - 1)]]
+                hit = rows.sum(axis=0, dtype=np.uint32) * 5 >= 3 * len(t)
+            if hit.any():
+                found[0].append(t)
+                found[1].append(np.flatnonzero(hit))
+        lengths = np.append(0, np.cumsum([len(x) for x in found[1]])).astype(np.int32)
+        flat = np.concatenate(found[1]) if found[1] else np.zeros(0, np.int64)
+        batch = asked.column("batch")[0].as_py() if len(ids) else 0
+        return pa.table({"target": pa.array(found[0], pa.string()), "batch": pa.array([batch] * len(found[0]), pa.int32()), "ids": pa.ListArray.from_arrays(pa.array(lengths), ids.take(pa.array(flat)))})
+
+    return asked.groupBy("batch", "part").cogroup(held.groupBy("in_batch", "in_part")).applyInArrow(compare, f"target string, batch int, ids array<{id_type}>")
 
 
 def fuzzy_pairs(texts: DataFrame, targets: DataFrame) -> DataFrame:

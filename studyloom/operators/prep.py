@@ -5,11 +5,14 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .components import components
 
 
 def chunk(docs: DataFrame, lines: int = 4) -> DataFrame:
@@ -53,19 +56,32 @@ def _settled(df: DataFrame) -> DataFrame:
     return written(df)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that links (doc_a, doc_b) reach from each node that has one."""
-    both = _settled(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).union(links.select("doc_b", "doc_a")).distinct())
-    labels = _settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
-    while True:
-        # the smallest label around, and that label's own
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hop = labels.select(F.col("node").alias("least"), F.col("component").alias("beyond"))
-        new = labels.join(seen, "node").withColumn("least", F.least("component", "near")).join(hop, "least", "left")
-        new = _settled(new.select("node", F.least("least", "beyond").alias("component"), F.col("component").alias("was")))
-        labels = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
-            return labels
+def _least_hashes(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(doc_id, band, key): for each band the hash of its least hashes, from the sets s of classes. A multiplier and a mix make each of the functions; numpy, in Arrow batches."""
+    rng = np.random.default_rng(20)
+    times, plus = (rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) for _ in range(2))
+    times |= np.uint64(1)
+    id_type = classes.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                tokens = batch.column(1)
+                length = tokens.value_lengths().to_numpy()
+                flat = tokens.flatten().to_numpy().view(np.uint64)
+                starts = np.cumsum(length) - length
+                keys = np.zeros((len(length), bands), np.uint64)
+                for k in range(bands * rows):
+                    h = flat * times[k] + plus[k]
+                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    own = np.minimum.reduceat(h ^ (h >> np.uint64(32)), starts)
+                    keys[:, k // rows] = (keys[:, k // rows] ^ own) * np.uint64(0x94D049BB133111EB) + np.uint64(k)
+                ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(length)), bands)))
+                band = pa.array(np.tile(np.arange(bands, dtype=np.int32), len(length)))
+                yield pa.RecordBatch.from_arrays([ids, band, pa.array(keys.ravel().view(np.int64))], names=["doc_id", "band", "key"])
+
+    return classes.select("doc_id", "s").mapInArrow(run, f"doc_id {id_type}, band int, key long")
 
 
 def minhash_pairs(docs: DataFrame, words: int = 5, bands: int = 24, rows: int = 4, threshold: float = 0.8) -> DataFrame:
@@ -86,16 +102,14 @@ def minhash_pairs(docs: DataFrame, words: int = 5, bands: int = 24, rows: int =
     copies = sets.select("class", F.col("doc_id").alias("doc_b")).join(classes.select("class", F.col("doc_id").alias("doc_a")), "class")
     copies = copies.where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("similarity")).distinct()
 
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(seed))))
-
-    hashes = [least(k) for k in range(bands * rows)]
-    keys = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*hashes[b * rows : (b + 1) * rows]).alias("key")) for b in range(bands)])
-    banded = classes.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.band", "k.key")
+    banded = _settled(_least_hashes(classes, bands, rows))
     a, b = classes.select(F.col("doc_id").alias("doc_a"), F.col("s").alias("sa")), classes.select(F.col("doc_id").alias("doc_b"), F.col("s").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     similarity = common / (F.size("sa") + F.size("sb") - common)
 
+    def ends(links: DataFrame) -> DataFrame:
+        return links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(a, "doc_a").join(b, "doc_b").select("doc_a", "doc_b", similarity.alias("similarity"))
         return _settled(both.where(F.col("similarity") >= threshold).withColumn("similarity", F.round("similarity", 6)))
@@ -105,9 +119,9 @@ def minhash_pairs(docs: DataFrame, words: int = 5, bands: int = 24, rows: int =
     star = banded.select("doc_id", F.explode(F.array("one", "two")).alias("pivot")).where("doc_id <> pivot")
     links = verified(star.select(F.least("doc_id", "pivot").alias("doc_a"), F.greatest("doc_id", "pivot").alias("doc_b")).distinct())
 
-    parts = components(links).withColumnRenamed("node", "doc_id")
+    parts = components(ends(links)).withColumnRenamed("node", "doc_id")
     open_ = banded.select("band", "key", "doc_id").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     x, y = (open_.select("band", "key", F.col("doc_id").alias(f"doc_{s}"), F.col("component").alias(f"part_{s}")) for s in "ab")
     left = x.join(y, ["band", "key"]).where("part_a <> part_b AND doc_a < doc_b").select("doc_a", "doc_b").distinct()
     links = _settled(links.unionByName(verified(left)).unionByName(copies))
-    return links.join(components(links).select(F.col("node").alias("doc_a"), F.col("component").alias("component_id")), "doc_a").select("doc_a", "doc_b", "similarity", "component_id")
+    return links.join(components(ends(links)).select(F.col("node").alias("doc_a"), F.col("component").alias("component_id")), "doc_a").select("doc_a", "doc_b", "similarity", "component_id")

@@ -170,9 +170,10 @@ def _scored(wanted: DataFrame, queries: DataFrame, index: Index, k: int, exclude
         columns = [np.concatenate(f) if f else np.zeros(0) for f in found]
         return pa.table([pa.array(c, t) for c, t in zip(columns, out.types, strict=True)], schema=out)
 
-    sides = asked.select("cluster", "part", "deal", "query_id", "vector"), held.select("cluster", "part", "deal", "pos", "embedding")
-    group = ["cluster", "part", "deal"]
-    return sides[0].groupBy(*group).cogroup(sides[1].groupBy(*group)).applyInArrow(best, "query_id long, pos long, score double")
+    # a column of its own, which no join before has dealt either side by
+    cell = F.concat_ws("-", "cluster", "part", "deal").alias("cell")
+    sides = asked.select(cell, "query_id", "vector"), held.select(cell, "pos", "embedding")
+    return sides[0].groupBy("cell").cogroup(sides[1].groupBy("cell")).applyInArrow(best, "query_id long, pos long, score double")
 
 
 def plan(queries: DataFrame, index: Index, k: int, exclude_self: bool = False) -> DataFrame:

@@ -153,7 +153,8 @@ def tag_score_topk(s, d):
 
 def _channels(s, d, c):
     v = vector_index.search(ad.query_vectors(s, d), _vector_index(s, d), 30).select("query_id", F.col("pos").alias("chunk_id"), "rank", F.lit("vector").alias("channel"))
-    return [v, _tags(s, d, c), _lexical(s, d)]
+    # as tables: a union of channels that are all dealt by query would keep that dealing, which adaptive execution may then change under it
+    return [written(x) for x in (v, _tags(s, d, c), _lexical(s, d))]
 
 
 @query
@@ -220,7 +221,7 @@ def _diagnosed(s, d):
     near_patterns = vector.search(qv, v.join(nation.select("pos"), "pos", "left_semi"), 3).join(nation, "pos").select("query_id", F.col("n_name").alias("pattern_id"), "rank")
     near_techniques = vector.search(qv, v.join(region.select("pos"), "pos", "left_semi"), 5).join(region, "pos").select("query_id", F.col("r_name").alias("technique_id"), "rank")
     c = _chunks(s, d)
-    ranked = fusion.retrieve(_channels(s, d, c), c, q, 8)
+    ranked = written(fusion.retrieve(_channels(s, d, c), c, q, 8))  # read for chunks and for videos
     return dx.diagnose(q, near_nodes, near_patterns, near_techniques, ranked, graph.edges_of(graph_nodes))
 
 

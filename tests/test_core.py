@@ -308,7 +308,7 @@ def test_plans(spark, sf001):
     import __spark_entry__ as entry
 
     plan = entry.queries()["knn_topk"](spark, sf001)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
+    assert "WindowGroupLimit" in plan and "FlatMapCoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
     plan = entry.queries()["fuzzy_contains"](spark, sf001)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     plan = entry.queries()["month_cost"](spark, sf001)._jdf.queryExecution().toString()
