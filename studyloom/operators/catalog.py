@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
+
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """name, n of each table."""
     out = None
@@ -67,3 +68,8 @@ def command(text: Column) -> Column:
     """exit / profile / cost for reserved words, blank for nothing, else query."""
     t = F.trim(text)
     return F.when(t == "", "blank").when(t.isin("exit", "quit", "q"), "exit").when(t == "profile", "profile").when(t == "cost", "cost").otherwise("query")
+
+
+def ready(key: Column, grade: Column) -> Column:
+    """Whether a session may ask: a key that isn't blank, and a grade. Null counts as empty."""
+    return (F.trim(F.coalesce(key, F.lit(""))) != "") & (F.coalesce(grade, F.lit("")) != "")

@@ -36,6 +36,32 @@ def visible(rows: DataFrame, users: DataFrame | None) -> DataFrame:
     return rows.join(users.select("user_id").where("user_id IS NOT NULL").distinct(), "user_id", "left_semi")
 
 
+class Own:
+    """The tables of an application as some users may see them: whatever is read through it holds their rows only.
+
+    It is what code that acts for users is given, in place of the tables. Tables without a user_id aren't shown.
+    """
+
+    def __init__(self, users: DataFrame, tables: dict[str, DataFrame]):
+        self._tables = {name: visible(rows, users) for name, rows in tables.items() if "user_id" in rows.columns}
+        self.users = users.select("user_id").where("user_id IS NOT NULL").distinct()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._tables[name]
+
+    def recent_text(self, as_of: str) -> DataFrame:
+        return recent_text(self.users, self["query_history"], as_of)
+
+    def month_cost(self, month: str) -> DataFrame:
+        return month_cost(self["query_history"], month)
+
+    def compact(self, as_of: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return compact(self["query_history"], self["memory_summaries"], as_of)
+
+    def profiles(self) -> DataFrame:
+        return profiles(self.users, self["users"], self["user_profile"])
+
+
 def day_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
 

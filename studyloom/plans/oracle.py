@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import classify, cost, formatting, fusion, history, tags
+from ..operators import classify, cost, formatting, fusion, graph_build, history, spelling, tags
 from . import queries as q
 
 ORACLE_SQL: dict[str, str] = {}
@@ -339,3 +339,30 @@ _openings = "CASE " + " ".join(f"WHEN complexity = '{k}' THEN {_phrase(v)}" for
 ORACLE_SQL["prompt_build"] = f"""WITH d AS (SELECT doc_id, text, {_complexity} AS complexity FROM documents)
 SELECT doc_id, 'Question: ' || text || CASE WHEN complexity = 'simple' THEN chr(10) || 'Answer in three sentences. Begin with: '
   ELSE chr(10) || chr(10) || '[RETRIEVAL_RESULTS]' || chr(10) || 'related_nodes: [' || doc_id || ']' || chr(10) || chr(10) || 'Explain the cause, the steps and one exercise. Begin with: ' END || {_openings} AS prompt FROM d"""
+
+# preparation by the corpus itself
+ORACLE_SQL["misspelt_words"] = rf"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS word FROM documents) WHERE length(word) >= {spelling.LEAST_LENGTH} AND regexp_full_match(word, '[a-z]+') GROUP BY word),
+c AS (SELECT a.word, a.n, b.word AS correction, b.n AS correction_n, CAST(levenshtein(a.word, b.word) AS INTEGER) AS distance FROM w a JOIN w b ON a.n <= {spelling.SUSPECT} AND b.n >= {spelling.KNOWN} AND abs(length(a.word) - length(b.word)) <= 2
+  AND levenshtein(a.word, b.word) <= CASE WHEN length(a.word) >= {spelling.LONG} THEN 2 ELSE 1 END)
+SELECT word, n, correction, distance, correction_n FROM c QUALIFY row_number() OVER (PARTITION BY word ORDER BY distance, correction_n DESC, correction) = 1"""
+ORACLE_SQL["prerequisite_graph"] = with_(
+    CHUNKS,
+    "t AS (SELECT chunk_id, unnest(list_distinct(list_concat(topics, patterns))) AS node FROM chunks)",
+    "nd AS (SELECT node, count(*) AS n FROM t GROUP BY node)",
+    f"""ed AS (SELECT x.node, y.node AS pre FROM t x JOIN t y ON x.chunk_id = y.chunk_id AND x.node <> y.node JOIN nd nx ON nx.node = x.node JOIN nd ny ON ny.node = y.node GROUP BY x.node, y.node
+  HAVING count(*) >= {graph_build.SUPPORT} AND any_value(ny.n) >= any_value(nx.n) AND 100 * count(*) >= {graph_build.SHARE} * any_value(nx.n))""",
+    "reach AS (SELECT node AS a, pre AS b FROM ed UNION SELECT reach.a, ed.pre FROM reach JOIN ed ON reach.b = ed.node)",
+    "mutual AS (SELECT x.a AS node, min(x.b) AS least FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY 1)",
+    "cp AS (SELECT node, least(node, coalesce(least, node)) AS component FROM nd LEFT JOIN mutual USING (node))",
+    "ce AS (SELECT DISTINCT x.component AS a, y.component AS b FROM ed JOIN cp x ON x.node = ed.node JOIN cp y ON y.node = ed.pre WHERE x.component <> y.component)",
+    "lv AS (SELECT DISTINCT component AS c, 0 AS level FROM cp UNION SELECT ce.a, level + 1 FROM lv JOIN ce ON ce.b = lv.c)",
+    body="""SELECT nd.node, nd.n, component, (SELECT max(level) FROM lv WHERE c = component) AS level, coalesce((SELECT string_agg(pre, ',' ORDER BY pre) FROM ed WHERE ed.node = nd.node), '') AS prerequisites FROM nd JOIN cp USING (node)""",
+)
+
+# semi-structured columns, sessions, scopes, stored lookups
+ORACLE_SQL["json_fields"] = """WITH f AS (SELECT props, unnest(json_keys(props)) AS field FROM events)
+SELECT field, CASE WHEN bool_and(json_type(props, '$.' || field) IN ('UBIGINT', 'BIGINT')) THEN 'BIGINT' ELSE 'VARIANT' END AS type, count(*) AS n FROM f GROUP BY field"""
+ORACLE_SQL["json_typed"] = """SELECT event_id, event_id % 10 = 0 AND NOT json_valid(substr(props, 1, 5)) AS malformed, coalesce(CASE WHEN event_id % 10 <> 0 THEN CAST(json_extract(props, '$.k') AS BIGINT) END, -1) AS k FROM events"""
+ORACLE_SQL["session_ready"] = "SELECT c_custkey, c_acctbal >= 0 AND c_mktsegment <> 'BUILDING' AS ready FROM customer"
+ORACLE_SQL["own_month_cost"] = ORACLE_SQL["month_cost"].replace("GROUP BY 1", "AND o_custkey // 10 IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1")
+ORACLE_SQL["stored_lookup"] = with_(QUARTERS, body="SELECT user_id, count(*) AS n, min(id) AS first_id, max(strftime(created_at, '%Y-%m')) AS last_month FROM o WHERE user_id % 50 = 0 GROUP BY 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import catalog, classify, compaction, cost, fusion, graph, history, lexical_index, prep, tags, vector, vector_index
+from ..operators import catalog, classify, compaction, cost, fusion, graph, graph_build, history, lexical_index, prep, semi, spelling, tags, vector, vector_index
 from ..operators import diagnose as dx
 from ..operators import formatting as fm
 from ..sources import adapters as ad
@@ -492,6 +492,44 @@ def json_roundtrip(s, d):
     return e.select("event_id", k.alias("k"), F.from_json(F.to_json(F.struct(k.alias("k"))), "k bigint").getField("k").alias("again"))
 
 
+@query
+def json_fields(s, d):
+    """The fields of the events' properties with their types, found from the data."""
+    return semi.fields(ad.table(s, d, "events"), "props")
+
+
+@query
+def json_typed(s, d):
+    """The events with a typed column for each field that their properties have. Every tenth row's text is cut to show what malformed rows become."""
+    e = ad.table(s, d, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 5)).otherwise(F.col("props")).alias("props"))
+    return semi.typed(e, "props", [("k", "bigint")]).select("event_id", "malformed", tx.or_else(F.col("k"), -1).alias("k"))
+
+
+@query
+def session_ready(s, d):
+    """Which customers' sessions could ask: a key (blank for those in debt) and a grade (none in one segment)."""
+    c = ad.table(s, d, "customer")
+    key = F.when(F.col("c_acctbal") < 0, F.lit("  ")).otherwise(F.col("c_name"))
+    return c.select("c_custkey", catalog.ready(key, F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))).alias("ready"))
+
+
+@query
+def own_month_cost(s, d):
+    """A month's cost through the view of some learners, who see nobody else's rows."""
+    own = history.Own(ad.users(s, d).where("grade = 'BUILDING'"), {"query_history": ad.history_quarters(s, d), "users": ad.users(s, d)})
+    return own.month_cost(MONTH)
+
+
+@query
+def stored_lookup(s, d):
+    """The stored history of each 50th user, by way of Bloom filters and sorted row groups."""
+    path = own_folder(s)
+    sinks.write_history(ad.history_quarters(s, d), path, 5000)
+    last = ad.history_quarters(s, d).agg(F.max("user_id")).first()[0] or 0
+    found = sinks.lookup_history(s, path, list(range(0, last + 1, 50)))
+    return found.groupBy("user_id").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("month").alias("last_month"))
+
+
 @query
 def user_export(s, d):
     """One learner's rows of three tables as one document, read back: number of rows and their ids by table."""
@@ -558,6 +596,19 @@ def typo_fix(s, d):
     return docs.select("doc_id", F.length(fixed).alias("n"), F.md5(F.encode(fixed, "UTF-8")).alias("md5"))
 
 
+@query
+def misspelt_words(s, d):
+    """Rare words of the documents with the known word that they are probably meant for."""
+    return spelling.corrections(ad.table(s, d, "documents").select("text"))
+
+
+@query
+def prerequisite_graph(s, d):
+    """The graph of the documents' tags: prerequisites, cycles as components, levels."""
+    tags_of = ad.chunks(s, d).select(F.col("chunk_id").alias("doc_id"), F.concat("topics", "patterns").alias("tags"))
+    return graph_build.build(tags_of).select("node", "n", "component", "level", joined("prerequisites").alias("prerequisites"))
+
+
 @query
 def chunking(s, d):
     return prep.chunk(ad.table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5(F.encode("chunk_text", "UTF-8")).alias("md5"))

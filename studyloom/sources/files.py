@@ -93,6 +93,54 @@ def query_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("query_id bigint, text string").json(folder)
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A table of a database server; filters and columns are pushed down."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def jdbc_table(spark: SparkSession, url: str, table: str, partition_by: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database server; filters and columns are pushed down.
+
+    partition_by: a number or time column whose range is read in so many parts at once; its bounds are asked of the server. Rows where it is null
+    are in the first part. Without it, or for an empty table, one task reads all.
+    """
+    read = spark.read.format("jdbc").options(url=url, **options)
+    if partition_by:
+        ends = read.option("dbtable", f"(SELECT MIN({partition_by}) AS least, MAX({partition_by}) AS most FROM {table}) ends").load().first()
+        if ends[0] is not None:
+            read = read.options(partitionColumn=partition_by, lowerBound=str(ends[0]), upperBound=str(ends[1]), numPartitions=str(parts))
+    return read.option("dbtable", table).load()
+
+
+def jdbc_catalog(spark: SparkSession, url: str) -> DataFrame:
+    """name, kind (table, unique or index), columns of a server's own tables and their indexes."""
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url)
+    rows = []
+    try:
+        said = connection.getMetaData()
+        found = said.getTables(None, None, "%", None)
+        while found.next():
+            if found.getString("TABLE_TYPE") != "TABLE":
+                continue
+            schema, name = found.getString("TABLE_SCHEM"), found.getString("TABLE_NAME")
+            columns = said.getColumns(None, schema, name, "%")
+            listed = []
+            while columns.next():
+                listed.append((columns.getInt("ORDINAL_POSITION"), columns.getString("COLUMN_NAME")))
+            rows.append((name, "table", [c for _, c in sorted(listed)]))
+            keys: dict[tuple[str, bool], list] = {}
+            index = said.getIndexInfo(None, schema, name, False, True)
+            while index.next():
+                if index.getString("INDEX_NAME"):
+                    keys.setdefault((index.getString("INDEX_NAME"), bool(index.getBoolean("NON_UNIQUE"))), []).append((index.getInt("ORDINAL_POSITION"), index.getString("COLUMN_NAME")))
+            rows += [(name, "index" if several else "unique", [c for _, c in sorted(own)]) for (_, several), own in sorted(keys.items())]
+    finally:
+        connection.close()
+    return spark.createDataFrame(rows, "name string, kind string, columns array<string>")
+
+
+def environment(names: Sequence[str], file: str | None = None) -> dict[str, str]:
+    """Settings of the driver's environment, and where it lacks one of NAME=value lines of a file that may be missing. Names without a value have none."""
+    held: dict[str, str] = {}
+    if file and os.path.isfile(file):
+        with open(file, encoding="utf-8") as f:
+            for line in f:
+                name, sign, value = line.strip().partition("=")
+                if sign and not name.startswith("#"):
+                    held[name.strip()] = value.strip().strip("'\"")
+    return {n: os.environ.get(n, held.get(n)) for n in names if n in os.environ or n in held}
