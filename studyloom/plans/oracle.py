@@ -255,8 +255,8 @@ ORACLE_SQL["daily_stats"] = """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) A
 
 # catalogue
 ORACLE_SQL["catalog_counts"] = "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in q.ALL_TABLES) + ") WHERE name LIKE '%e%' OR name IN ('part', 'labels')"
-ORACLE_SQL["expected_minus_present"] = """SELECT name FROM (VALUES ('index.parquet'), ('terms.parquet'), ('ids.json'), ('graph.jsonl')) e(name)
-  WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('/data/a/index.parquet'), ('/data/b/ids.json')) p(path) WHERE contains(path, name))"""
+ORACLE_SQL["expected_minus_present"] = """WITH e AS (SELECT DISTINCT '/' || coalesce(lang, 'und') || '/' || regexp_extract(source, '[0-9]+') AS name FROM documents)
+SELECT name FROM e WHERE NOT EXISTS (SELECT 1 FROM pages WHERE contains(url, name))"""
 ORACLE_SQL["fk_violations"] = """SELECT 'orders->customer' AS reference, o_custkey AS key_value FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
   UNION ALL SELECT 'lineitem->orders', l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'labels->documents', doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)
   UNION ALL SELECT 'documents->labels', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
@@ -267,12 +267,10 @@ _prices = ", ".join(f"('{p[0]}', '{p[3]}', {p[4]}, {'NULL' if p[5] is None else
 ORACLE_SQL["llm_cost"] = f"""WITH pr(provider, sdk, miss, hit, outp) AS (VALUES {_prices}),
 u AS (SELECT l_orderkey, l_linenumber, 'p' || (l_partkey % 8 + 1) AS provider, CAST(l_quantity AS BIGINT) * 100 + 1000 AS i, l_partkey % 10 * 64 AS h, l_suppkey % 3 * 32 AS c, CAST(l_quantity AS BIGINT) * 7 AS o FROM lineitem)
 SELECT l_orderkey, l_linenumber, provider, round((h * CAST(coalesce(hit, miss) AS DOUBLE) + (i - h - CASE sdk WHEN 'two' THEN c ELSE 0 END) * CAST(miss AS DOUBLE) + o * CAST(outp AS DOUBLE)) / 1000000.0::DOUBLE, 6) AS cost FROM u JOIN pr USING (provider)"""
-ORACLE_SQL["error_class"] = (
-    "WITH m(nr, message) AS (VALUES " + ", ".join(f"({i}, lower({text(m)}))" for i, m in enumerate(q.ERRORS)) + ") SELECT nr, CASE WHEN message LIKE '%401%' OR message LIKE '%unauthorized%' OR message LIKE '%invalid api key%' THEN 'key' "
-    "WHEN message LIKE '%402%' OR message LIKE '%insufficient%' OR message LIKE '%balance%' THEN 'balance' WHEN message LIKE '%429%' OR message LIKE '%rate%' THEN 'rate' "
-    "WHEN message LIKE '%timeout%' OR message LIKE '%connection%' OR message LIKE '%network%' THEN 'network' ELSE 'other' END AS class FROM m"
-)
-ORACLE_SQL["model_check"] = "SELECT provider, model_returned, provider <> 'p1' OR contains(lower(model_returned), 'a-pro') AS ok FROM (VALUES ('p1', 'Model-A-Pro-2'), ('p1', 'model-a-lite'), ('p2', 'anything')) t(provider, model_returned)"
+ORACLE_SQL["error_class"] = """WITH m AS (SELECT conv_id, turn, lower(text) AS message FROM conversations) SELECT conv_id, turn, CASE WHEN message LIKE '%401%' OR message LIKE '%unauthorized%' OR message LIKE '%invalid api key%' THEN 'key'
+  WHEN message LIKE '%402%' OR message LIKE '%insufficient%' OR message LIKE '%balance%' THEN 'balance' WHEN message LIKE '%429%' OR message LIKE '%rate%' THEN 'rate'
+  WHEN message LIKE '%timeout%' OR message LIKE '%connection%' OR message LIKE '%network%' THEN 'network' ELSE 'other' END AS class FROM m"""
+ORACLE_SQL["model_check"] = """SELECT l_orderkey, l_linenumber, l_partkey % 8 <> 0 OR l_partkey % 3 = 0 AS ok FROM lineitem"""
 
 # sessions
 ORACLE_SQL["session_running_totals"] = """SELECT conv_id AS session, turn AS step, CAST(sum(length(text)) OVER w AS DOUBLE) AS session_cost, count(*) OVER w AS session_queries FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)
@@ -301,8 +299,8 @@ ORACLE_SQL["context_text"] = with_(
 ORACLE_SQL["url_build_parse"] = f"""SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, '{URL}' || page_id || '?p=' || (page_id % 5 + 1) AS built, CAST(page_id % 5 + 1 AS VARCHAR) AS part,
   true AS has_collection, true AS has_url, false AS has_doubled_id, true AS has_reference FROM pages"""
 ORACLE_SQL["json_roundtrip"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS again FROM events"
-ORACLE_SQL["id_format"] = """SELECT x, x LIKE 'anon\\_%' ESCAPE '\\' AND length(x) = 21 AS anonymous, CASE WHEN trim(x) = '' THEN 'blank' WHEN trim(x) IN ('exit', 'quit', 'q') THEN 'exit' WHEN trim(x) IN ('profile', 'cost') THEN trim(x) ELSE 'query' END AS command
-  FROM (VALUES ('anon_0123456789abcdef'), ('anon_short'), ('user_0123456789abcdef'), ('  exit '), ('profile'), ('cost'), ('   '), ('why?')) t(x)"""
+ORACLE_SQL["id_format"] = """WITH i AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'anon_' || substr(md5(c_name), 1, 16) WHEN 1 THEN 'anon_' || c_name WHEN 2 THEN ['  exit ', 'profile', 'cost', '   ', 'q'][c_custkey % 5 + 1] ELSE c_name END AS x FROM customer)
+SELECT c_custkey, x LIKE 'anon\\_%' ESCAPE '\\' AND length(x) = 21 AS anonymous, CASE WHEN trim(x) = '' THEN 'blank' WHEN trim(x) IN ('exit', 'quit', 'q') THEN 'exit' WHEN trim(x) IN ('profile', 'cost') THEN trim(x) ELSE 'query' END AS command FROM i"""
 ORACLE_SQL["history_append"] = """SELECT user_id, count(*) AS n, max('covers [' || event_type || ', ' || user_id || '], lacks [' || user_id || ']') AS last_summary, CAST(max(least(length(repeat(props, 40)), 200)) AS INTEGER) AS longest, round(sum(value), 2) AS cost FROM events GROUP BY 1"""
 ORACLE_SQL["text_replace"] = """WITH r AS (SELECT page_id, replace(replace(replace(url, 'https://', ''), 'http://', ''), '.example.', '.sample.') AS url FROM pages) SELECT page_id, url, contains(url, 'example') AS residue FROM r"""
 _fixed = "text"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import catalog, classify, compaction, cost, fusion, graph, graph_build, history, lexical_index, prep, semi, spelling, tags, vector, vector_index
+from ..operators import catalog, classify, compaction, cost, encoder, fusion, graph, graph_build, history, lexical_index, prep, semi, spelling, tags, vector, vector_index
 from ..operators import diagnose as dx
 from ..operators import formatting as fm
 from ..sources import adapters as ad
@@ -381,8 +381,10 @@ def catalog_counts(s, d):
 
 @query
 def expected_minus_present(s, d):
-    expected = files.literal_rows(s, [("index.parquet",), ("terms.parquet",), ("ids.json",), ("graph.jsonl",)], "name string")
-    present = files.literal_rows(s, [("/data/a/index.parquet", 10), ("/data/b/ids.json", 5)], "path string, length long")
+    """Which of the hosts that the documents' sources name, by number, no page comes from."""
+    number = F.regexp_extract("source", "[0-9]+", 0)
+    expected = ad.table(s, d, "documents").select(F.concat(F.lit("/"), F.coalesce("lang", F.lit("und")), F.lit("/"), number).alias("name")).distinct()
+    present = ad.table(s, d, "pages").select(F.col("url").alias("path"), F.length("html").alias("length"))
     return catalog.missing(expected, present)
 
 
@@ -408,19 +410,22 @@ def llm_cost(s, d):
     return priced.select("l_orderkey", "l_linenumber", "provider", "cost")
 
 
-ERRORS = ["HTTP 401", "Unauthorized", "Invalid API key", "402 payment", "insufficient funds", "429", "Rate limit", "read timeout", "connection reset", "Network down", "oops"]
-
-
 @query
 def error_class(s, d):
-    rows = files.literal_rows(s, [(i, m) for i, m in enumerate(ERRORS)], "nr int, message string")
-    return rows.select("nr", cost.error_class(F.col("message")).alias("class"))
+    """Class of each turn's text, read as a provider's message."""
+    return ad.table(s, d, "conversations").select("conv_id", "turn", cost.error_class(F.col("text")).alias("class"))
+
+
+def _returned(part):
+    """A model name for each line's part."""
+    return F.when(part % 3 == 0, F.concat(F.lit("Model-A-Pro-"), part.cast("string"))).when(part % 3 == 1, F.lit("model-a-lite")).otherwise(F.lit("anything"))
 
 
 @query
 def model_check(s, d):
-    rows = files.literal_rows(s, [("p1", "Model-A-Pro-2"), ("p1", "model-a-lite"), ("p2", "anything")], "provider string, model_returned string")
-    return rows.select("provider", "model_returned", cost.model_ok(F.col("provider"), F.col("model_returned")).alias("ok"))
+    """Whether each line's model is the one that its provider was asked for."""
+    provider = F.concat(F.lit("p"), (F.col("l_partkey") % 8 + 1).cast("string"))
+    return ad.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", cost.model_ok(provider, _returned(F.col("l_partkey"))).alias("ok"))
 
 
 @query
@@ -549,8 +554,11 @@ def user_scope(s, d):
 
 @query
 def id_format(s, d):
-    rows = files.literal_rows(s, [("anon_0123456789abcdef",), ("anon_short",), ("user_0123456789abcdef",), ("  exit ",), ("profile",), ("cost",), ("   ",), ("why?",)], "x string")
-    return rows.select("x", catalog.anonymous_id(F.col("x")).alias("anonymous"), catalog.command(F.col("x")).alias("command"))
+    """What customers' names are as ids and as commands, some written as anonymous ids and reserved words."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    words = F.array(*map(F.lit, ["  exit ", "profile", "cost", "   ", "q"]))
+    x = F.when(key % 4 == 0, F.concat(F.lit("anon_"), F.substring(F.md5(F.encode(name, "UTF-8")), 1, 16))).when(key % 4 == 1, F.concat(F.lit("anon_"), name)).when(key % 4 == 2, F.get(words, (key % 5).cast("int"))).otherwise(name)
+    return ad.table(s, d, "customer").select("c_custkey", x.alias("x")).select("c_custkey", catalog.anonymous_id(F.col("x")).alias("anonymous"), catalog.command(F.col("x")).alias("command"))
 
 
 @query
@@ -575,6 +583,18 @@ def encode_stub(s, d):
     return e.select("doc_id", F.size("vector").alias("dimension"), F.round(vx.norm(F.col("vector")), 4).alias("norm"))
 
 
+@query
+def encoded_neighbours(s, d):
+    """The documents nearest to each benchmark text, by vectors of an encoder fitted on the documents, from a stored index of these."""
+    docs = ad.table(s, d, "documents").select("doc_id", "text")
+    fitted = encoder.fit(docs)
+    made = encoder.encode(docs, fitted, "doc_id").select(F.col("doc_id").alias("pos"), F.col("vector").alias("embedding"))
+    path = own_folder(s)
+    vector_index.write_index(made, path)
+    found = vector_index.search(encoder.encode(ad.queries(s, d), fitted, "query_id"), vector_index.read_index(s, path), 5)
+    return found.select("query_id", F.col("pos").alias("doc_id"), "score", "rank")
+
+
 @query
 def minhash_pairs(s, d):
     return prep.minhash_pairs(ad.table(s, d, "documents").select("doc_id", "text"))

@@ -60,12 +60,12 @@ def swap(df: DataFrame, path: str) -> None:
     """Replace the table at path by df, which may read it: written beside it, then renamed.
 
     The old table stays as path.old until the new one is in place. A failed rename puts it back and raises; after a crash
-    between the renames ``recover`` does.
+    between the renames ``recover`` does. Between the renames a reader finds no table; sources.versioned has no such moment.
     """
     spark = df.sparkSession
+    recover(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.next")
     fs, now, then, old = _places(spark, path)
-    recover(spark, path)
     fs.delete(old, True)
     if fs.exists(now) and not fs.rename(now, old):
         raise OSError(f"{path} can't be moved away")
