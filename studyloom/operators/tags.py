@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,10 +51,41 @@ def search(queries: DataFrame, chunks: DataFrame, nodes: DataFrame, patterns: Da
         own = rows.select("target", F.lit(kind).alias("kind"), F.col(tag).alias("tag"), F.lit(POINTS[name]).alias("points"))
         aims = own if aims is None else aims.unionByName(own)
     aims = aims.distinct()
-    # several targets of one node or pattern count once; queries stay in arrays until a chunk's tags are together
+    # several targets of one node or pattern count once; queries stay in arrays
     met = fuzzy_holders(queries, aims).join(aims, "target").groupBy("kind", "tag", "points", "batch").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
-    worth = met.join(tags, ["kind", "tag"]).select("chunk_id", (F.col("points") * F.col("times")).alias("points"), "ids").repartition("chunk_id")
-    scored = worth.select("chunk_id", "points", F.explode("ids").alias("query_id")).groupBy("chunk_id", "query_id").agg(F.sum("points").alias("score"))
-    scored = scored.select("query_id", "chunk_id", "score")
+    worth = met.join(tags, ["kind", "tag"]).select("chunk_id", (F.col("points") * F.col("times")).alias("points"), "batch", "ids")
+    scored = _block_best(worth, max(1, -(-chunks.count() // BLOCK)), k)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("channel", F.lit("tag"))
+
+
+#: Chunks whose points are summed together, about, for all queries of a batch.
+BLOCK = 512
+
+
+def _block_best(worth: DataFrame, blocks: int, k: int) -> DataFrame:
+    """query_id, chunk_id, score: of each block of chunks the k best of each query, from worth (chunk_id, points, batch, ids).
+
+    The points of a block are summed in a table of chunks by queries, so pairs of both are no rows; what goes on is k a block and query at most.
+    """
+    chunk_type = worth.schema["chunk_id"].dataType.simpleString()
+    query_type = worth.schema["ids"].dataType.elementType.simpleString()
+
+    def best(rows: pa.Table) -> pa.Table:
+        ids = rows.column("ids").combine_chunks()
+        flat = ids.flatten().dictionary_encode()
+        length = ids.value_lengths().to_numpy()
+        names = sorted(set(rows.column("chunk_id").to_pylist()))  # so that ties go to the smaller one
+        at = {c: i for i, c in enumerate(names)}
+        chunk = np.repeat(np.array([at[c] for c in rows.column("chunk_id").to_pylist()], np.int64), length)
+        sums = np.zeros((len(flat.dictionary), len(names)), np.int64)
+        np.add.at(sums, (flat.indices.to_numpy(), chunk), np.repeat(rows.column("points").to_numpy(), length))
+        top = np.argsort(-sums, axis=1, kind="stable")[:, :k]
+        score = np.take_along_axis(sums, top, axis=1)
+        query = np.repeat(np.arange(len(sums)), top.shape[1])
+        some = np.flatnonzero(score.ravel() > 0)
+        columns = [flat.dictionary.take(pa.array(query[some])), pa.array(names, rows.schema.field("chunk_id").type).take(pa.array(top.ravel()[some])), pa.array(score.ravel()[some])]
+        return pa.table(columns, names=["query_id", "chunk_id", "score"])
+
+    block = F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).alias("block")
+    return worth.where("chunk_id IS NOT NULL").select(block, "*").groupBy("block", "batch").applyInArrow(best, f"query_id {query_type}, chunk_id {chunk_type}, score long")

@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import inner_product
 
-#: Queries that one pass over the index answers; more are answered in several passes.
+#: Queries that one pass over the index answers at most, about; more are answered in several passes.
 BATCH = 4096
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 30, exclude_self: bool = False) -> DataFrame:
     """(query_id, pos, score, rank): queries (query_id, vector) against index (pos, embedding).
 
-    Queries of at most BATCH rows, which is checked, are sent to the index's partitions; each partition keeps its own k
-    best before anything is shuffled.
+    Queries are counted and sent to the index's partitions in parts of about BATCH / 2 rows, dealt by hash; each partition keeps its own k
+    best before anything is shuffled. For small indexes; operators.vector_index is for large ones.
     """
     found = None
     n = queries.count()
-    parts = max(1, -(-n // BATCH))
+    parts = 1 if n <= BATCH else -(-2 * n // BATCH)
     for part in range(parts):
         some = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
         pairs = index.join(F.broadcast(some), (F.col("pos") != F.col("query_id")) if exclude_self else None)

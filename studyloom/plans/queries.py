@@ -216,7 +216,9 @@ def _diagnosed(s, d):
     v, qv = ad.vectors(s, d), ad.query_vectors(s, d)
     graph_nodes = ad.graph_nodes(s, d)
     # of each index the rows with metadata: position = key
-    near_nodes = vector.search(qv, v.join(graph_nodes.select(F.col("node_id").alias("pos")), "pos", "left_semi"), 5).select("query_id", F.col("pos").alias("node_id"), "rank")
+    of_nodes = v.join(graph_nodes.select(F.col("node_id").alias("pos")), "pos", "left_semi")
+    node_index = vector_index.read_index(s, _stored(s, d, "part", lambda path: vector_index.write_index(of_nodes, path)))
+    near_nodes = vector_index.search(qv, node_index, 5).select("query_id", F.col("pos").alias("node_id"), "rank")
     nation, region = ad.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("pos"), "n_name"), ad.table(s, d, "region").select(F.col("r_regionkey").cast("long").alias("pos"), "r_name")
     near_patterns = vector.search(qv, v.join(nation.select("pos"), "pos", "left_semi"), 3).join(nation, "pos").select("query_id", F.col("n_name").alias("pattern_id"), "rank")
     near_techniques = vector.search(qv, v.join(region.select("pos"), "pos", "left_semi"), 5).join(region, "pos").select("query_id", F.col("r_name").alias("technique_id"), "rank")
