@@ -35,15 +35,31 @@ def scratch_dir(spark: SparkSession) -> str:
 _roots: list[str] = []
 
 
+def _delete(path: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None:
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clear() -> None:
-    """Results may be read lazily, so the tables live as long as the program."""
-    context = SparkContext._active_spark_context
-    if context is not None and _roots:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            for root in _roots:
-                path = context._jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    """Results may be read lazily, so the tables live as long as the program, or until ``release``."""
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        release(_roots)
+
+
+def made() -> list[str]:
+    """The folders of tables that are there now."""
+    return list(_roots)
+
+
+def release(roots: list[str]) -> None:
+    """Clear the tables of such folders: of results that have been written elsewhere, so that nothing reads them any more."""
+    for root in list(roots):
+        _delete(root)
+        if root in _roots:
+            _roots.remove(root)
 
 
 class Scratch:
