@@ -15,7 +15,8 @@ A search is a batch of queries and is exact. With u a term's weight in the query
 1. partial sums over each term's leading blocks give every query a score that its k-th best document reaches at least;
 2. terms whose greatest contributions together stay below that can't make a result and aren't read (MaxScore); of the other
    terms a block is read only if its best posting could reach the score with all other terms at their greatest;
-3. documents found so whose bound reaches the score, raised by what was read, are scored from ``forward``.
+3. documents found so whose bound reaches the score, raised by what was read, are scored from ``forward``; where they are many, as for queries of
+   common words only, the rest of the terms' postings is read instead.
 
 Cases: null text and text without letters has no terms and is never found; a null doc_id takes no part; documents with equal
 rounded scores are ranked by the higher id; queries without known terms have no rows.
@@ -39,6 +40,8 @@ from .lexical import terms
 
 #: Postings of a block; blocks of a term whose sums give the first threshold; postings that one group of a term may gather, about; documents of a shard.
 BLOCK, LEAD, GROUP, SHARD = 64, 2, 8192, 2048
+#: Up to so many pairs a document are scored from the documents' own weights; more of them by reading what is left of the postings. Both give the same sums.
+FEW = 2
 #: Scores have 6 digits: a bound is out only if it stays below by more than rounding can add.
 MARGIN = 2e-6
 
@@ -184,10 +187,12 @@ def bounded(q: DataFrame, reach: DataFrame) -> DataFrame:
     return q.withColumn("left", F.when(F.col("needed"), skipped).otherwise(F.col("ub")))
 
 
-def needed(q: DataFrame, index: Index) -> DataFrame:
-    """The blocks that phase 2 reads."""
-    both = q.where("needed").select("query_id", "term", "u", "ub", "reach", "total", "left").join(index.blocks, "term")
-    return both.where("u * most + total - ub >= reach").select("query_id", "term", "u", "left", "docs", "weights")
+def needed(q: DataFrame, index: Index, read: bool = True) -> DataFrame:
+    """The blocks that phase 2 reads, or the others of the queries' terms."""
+    terms_of = q.where("needed") if read else q
+    both = terms_of.select("query_id", "term", "u", "ub", "reach", "total", "left", "needed").join(index.blocks, "term")
+    matters = "needed AND u * most + total - ub >= reach"
+    return both.where(matters if read else f"NOT ({matters})").select("query_id", "term", "u", "left", "docs", "weights")
 
 
 def search(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
@@ -198,9 +203,17 @@ def search(queries: DataFrame, index: Index, k: int = 10) -> DataFrame:
     rest = q.groupBy("query_id").agg(F.sum("left").alias("rest"), F.max("reach").alias("reach"), F.collect_list(F.struct("term", "u")).alias("own"))
     higher = _kth(sums, k).select("query_id", (F.col("reach") - MARGIN).alias("higher"))
     open_ = sums.join(rest, "query_id").join(higher, "query_id", "left").where("known + rest - seen >= greatest(reach, higher)")
-    both = open_.select("query_id", F.col("doc").alias("doc_id"), "own").join(index.forward, "doc_id")
-    weight = F.map_from_arrays("terms", "weights")
-    dot = F.aggregate("own", F.lit(0.0), lambda s, x: s + x["u"] * F.coalesce(F.try_element_at("of", x["term"]), F.lit(0.0)))
-    scored = both.withColumn("of", weight).select("query_id", F.col("doc_id").alias("chunk_id"), F.round(dot, 6).alias("score")).where("score > 0")
+    open_ = written(open_.select("query_id", "doc", "known"))
+    few = open_.count() <= FEW * max(1, index.n_docs)
+    if few:
+        both = open_.join(rest.select("query_id", "own"), "query_id").join(index.forward.withColumnRenamed("doc_id", "doc"), "doc")
+        dot = F.aggregate("own", F.lit(0.0), lambda s, x: s + x["u"] * F.coalesce(F.get("weights", F.array_position("terms", x["term"]).cast("int") - 1), F.lit(0.0)))
+    else:
+        # what is left of the terms' postings is added to what is known; pairs that aren't open have no known sum here
+        left = _sums(needed(q, index, False), F.lit(0).alias("none")).select("query_id", "doc", F.col("known").alias("more"))
+        both = open_.select("query_id", "doc", "known", F.lit(0.0).alias("more")).unionByName(left.select("query_id", "doc", F.lit(None).cast("double").alias("known"), "more"))
+        both = both.groupBy("query_id", "doc").agg(F.max("known").alias("known"), F.sum("more").alias("more")).where("known IS NOT NULL")
+        dot = F.col("known") + F.col("more")
+    scored = both.select("query_id", F.col("doc").alias("chunk_id"), F.round(dot, 6).alias("score")).where("score > 0")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("chunk_id")))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumn("channel", F.lit("tfidf"))

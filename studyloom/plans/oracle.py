@@ -227,7 +227,7 @@ ORACLE_SQL["stored_compaction"] = with_(
     COMPACT.replace("AND NOT (period = '1996-Q1' AND user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))", ""),
     "cn AS (SELECT user_id, count(*) AS n_periods, CAST(sum(n) AS BIGINT) AS n_rows, max(ratio) AS max_ratio, min(summary) AS min_summary FROM made GROUP BY 1)",
     "lf AS (SELECT user_id, count(*) AS n_left, min(id) AS first_left FROM o WHERE id NOT IN (SELECT id FROM rows) GROUP BY 1)",
-    body="SELECT user_id, n_periods, n_rows, max_ratio, min_summary, n_left, first_left FROM cn FULL JOIN lf USING (user_id)",
+    body="SELECT user_id, coalesce(n_periods, 0) AS n_periods, coalesce(n_rows, 0) AS n_rows, max_ratio, min_summary, coalesce(n_left, 0) AS n_left, coalesce(first_left, 0) AS first_left FROM cn FULL JOIN lf USING (user_id)",
 )
 ORACLE_SQL["rolling_users"] = """WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS day, user_id FROM events WHERE user_id IS NOT NULL), u AS (SELECT DISTINCT day AS until FROM d)
 SELECT CAST(until AS TIMESTAMP) AS until, count(DISTINCT user_id) AS users, count(DISTINCT day) AS n_days, true AS within_bound FROM u JOIN d ON day <= until AND day > until - 30 GROUP BY until"""

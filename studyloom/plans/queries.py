@@ -327,7 +327,9 @@ def stored_compaction(s, d):
     compaction.run(s, rows, summaries, f"{folder}/ledger", "first", AS_OF_QUARTERS)  # again: nothing
     left = rows.read().groupBy("user_id").agg(F.count("*").alias("n_left"), F.min("id").alias("first_left"))
     made = summaries.read().groupBy("user_id").agg(F.count("*").alias("n_periods"), F.sum("compressed_count").alias("n_rows"), F.max("compression_ratio").alias("max_ratio"), F.min("summary").alias("min_summary"))
-    return made.join(left, "user_id", "full_outer").select("user_id", "n_periods", "n_rows", "max_ratio", "min_summary", "n_left", "first_left")
+    return made.join(left, "user_id", "full_outer").select(
+        "user_id", *[tx.or_else(F.col(c), 0).alias(c) for c in ("n_periods", "n_rows", "n_left", "first_left")], "max_ratio", "min_summary",
+    )
 
 
 @query

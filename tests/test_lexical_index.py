@@ -25,8 +25,9 @@ def rows(df):
     return sorted(map(tuple, df.select("query_id", "chunk_id", "score", "rank").collect()))
 
 
-@pytest.mark.parametrize("seed,block,lead,group,shard", [(1, 4, 1, 16, 50), (2, 1, 2, 8192, 2048), (3, 64, 2, 5, 7)])
-def test_equals_the_plain_search(spark, tmp_path, seed, block, lead, group, shard):
+@pytest.mark.parametrize("seed,block,lead,group,shard,few", [(1, 4, 1, 16, 50, 0), (2, 1, 2, 8192, 2048, 10**6), (3, 64, 2, 5, 7, 0)])
+def test_equals_the_plain_search(spark, tmp_path, monkeypatch, seed, block, lead, group, shard, few):
+    monkeypatch.setattr(lexical_index, "FEW", few)  # both ways to the last sums
     docs, queries = corpus(spark, seed)
     lexical_index.write_index(docs, f"{tmp_path}/ix", block, lead, group, shard)
     index = lexical_index.read_index(spark, f"{tmp_path}/ix")
