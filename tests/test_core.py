@@ -289,7 +289,7 @@ def test_streams_equal_batches(spark, tmp_path):
     schema = "id long, user_id long, cost double, created_at timestamp"
     spark.createDataFrame(rows, schema).repartition(2).write.parquet(f"{tmp_path}/e")
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/e")
-    q = stream.session_totals(events).writeStream.outputMode("update").format("memory").queryName("totals").start()
+    q = stream.session_totals(events, 10 * 24 * 60).writeStream.outputMode("update").format("memory").queryName("totals").start()  # pauses of hours are inside a session
     q.processAllAvailable()
     q.stop()
     got = spark.sql("SELECT user_id, max(session_queries), max(session_cost) FROM totals GROUP BY 1").collect()
