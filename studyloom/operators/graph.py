@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def edges_of(nodes: DataFrame) -> DataFrame:
     """(node_id, at, prerequisite) from nodes (node_id, prerequisites)."""
@@ -16,12 +18,13 @@ def trace(roots: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
 
     Breadth first: a node's key is its least depth, there the least path (root number, then places in the lists), and results
     are read in order of (depth, path). A root is a result only if an earlier root lists it. Unknown nodes are results without
-    prerequisites. Each hop is one equi-join; cycles end as found nodes aren't expanded again.
+    prerequisites. Each hop is one equi-join; cycles end as found nodes aren't expanded again. Roots and hops are tables, so that the
+    next hop's plan holds a scan of them and not, several times over, the plan and broadcast tables of all hops before.
     """
     limit = F.col("max_depth") if "max_depth" in roots.columns else F.lit(depth)
     roots = roots.select("query_id", "root_at", "node_id", limit.alias("max_depth"))
     # of a root given twice the first counts
-    roots = roots.groupBy("query_id", "node_id").agg(F.min("root_at").alias("root_at"), F.first("max_depth").alias("max_depth"))
+    roots = written(roots.groupBy("query_id", "node_id").agg(F.min("root_at").alias("root_at"), F.first("max_depth").alias("max_depth")))
     own = roots.select(F.col("query_id").alias("own_query"), F.col("node_id").alias("root"), F.col("root_at").alias("own_at"))
     front = roots.select("query_id", "node_id", F.array("root_at").alias("path"), "max_depth")
     found = None
@@ -33,6 +36,7 @@ def trace(roots: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
             kept = next_.where("root IS NULL OR element_at(path, 1) < own_at")
         else:
             kept = next_.where("root IS NULL").join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+        kept = written(kept)
         front = kept.where("root IS NULL").select("query_id", "node_id", "path", "max_depth")
         level = kept.select("query_id", "node_id", F.lit(hop).alias("depth"), "path")
         found = level if found is None else found.unionByName(level)

@@ -33,7 +33,7 @@ from ..sources.files import exists
 from ..sources.scratch import written
 
 SAMPLE, CLUSTERS, ROUNDS = 20_000, 1024, 8
-PART, QUERIES = 8192, 2048
+PART, QUERIES, ROWS = 8192, 2048, 1024
 #: Scores have 6 digits: a bound is out only if it stays below by more than rounding can add.
 MARGIN = 2e-6
 
@@ -51,7 +51,10 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _nearest(m: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(m @ centres.T - (centres * centres).sum(axis=1) / 2, axis=1)
+    """The nearest centre of each row; some rows at a time, as all rows' products with all centres are many times the rows."""
+    half = (centres * centres).sum(axis=1) / 2
+    parts = [np.argmax(m[at : at + ROWS] @ centres.T - half, axis=1) for at in range(0, len(m), ROWS)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def centres_of(sample: np.ndarray, clusters: int, rounds: int = ROUNDS) -> np.ndarray:

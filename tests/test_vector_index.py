@@ -62,3 +62,19 @@ def test_edges(spark, tmp_path):
     vector_index.write_index(holes, f"{tmp_path}/ix")
     asked = q.unionByName(spark.createDataFrame([(None, [1.0] * 16), (77, None)], "query_id long, vector array<float>"))
     assert rows_of(vector_index.search(asked, vector_index.read_index(spark, f"{tmp_path}/ix"), 3)) == rows_of(vector.search(q, v, 3))
+
+
+def test_nearest_centres_in_bounded_memory():
+    """The driver fits centres on the whole sample: what it holds is a slice's products with the centres, not the sample's."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    m, centres = rng.standard_normal((20_000, 8)), rng.standard_normal((1024, 8))
+    tracemalloc.start()
+    near = vector_index._nearest(m, centres)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 64 << 20
+    some = rng.choice(len(m), 200, replace=False)
+    assert (near[some] == np.argmin(((m[some][:, None] - centres) ** 2).sum(axis=2), axis=1)).all()
+    assert len(vector_index._nearest(m[:0], centres)) == 0
