@@ -71,3 +71,20 @@ def test_empty_corpus(spark, tmp_path):
     docs, queries = corpus(spark, 5, 5)
     lexical_index.write_index(docs.where("false"), f"{tmp_path}/ix")
     assert rows(lexical_index.search(queries, lexical_index.read_index(spark, f"{tmp_path}/ix"))) == []
+
+
+def test_common_words_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
+    """Queries of common words: what leaves a shard is k a query at most, whatever the number of documents that hold the words."""
+    rng = np.random.default_rng(9)
+    names = [chr(97 + i) * 3 for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(names, 12))) for i in range(600)], "doc_id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(names, 6))) for i in range(30)], "query_id long, text string")
+    lexical_index.write_index(docs, f"{tmp_path}/ix", group=7, shard_docs=100)
+    index = lexical_index.read_index(spark, f"{tmp_path}/ix")
+    monkeypatch.setattr(lexical_index, "PAIRS", 50)
+    for dense in (lexical_index.DENSE, 2.0):  # by matrix, and by adding up
+        monkeypatch.setattr(lexical_index, "DENSE", dense)
+        assert rows(lexical_index.search(queries, index, 3)) == rows(lexical.search(queries, docs, 3))
+    q = lexical_index.query_terms(queries, index)
+    shards = index.blocks.select("shard").distinct().count()
+    assert shards >= 6 and lexical_index.by_shard(q, index, 3).count() <= 3 * 30 * shards
