@@ -7,27 +7,32 @@ Filters of several widths run over the sequence of a whole text. Their values ar
 strands, rectified, enter a logistic unit, so one strong sign counts as well as several weak ones.
 Every worker scores whole texts in bounded groups.
 
-Training reads labelled rows whose crc32(doc_id as text) mod 5 is not 0, of each label at most
-``SAMPLE`` with the smallest hashes, of texts up to ``SAMPLE_CHARS`` characters (documented bounds: the
-model's size, what the driver gathers and its time don't grow with the corpus). Texts are gathered as word numbers.
-One part in five of them, by another hash, calibrates: for each
-language a threshold is chosen there, and the score is shifted so that 0.5 is the threshold.
+Training reads all labelled rows whose crc32(doc_id as text) mod 5 is not 0, with their whole texts. They are dealt over at most
+``SHARDS`` shards by hash; in each round every shard's task streams through its rows in order of hash, beginning with the common
+network, and the networks of all shards are averaged, an embedding over the shards that changed it. The driver holds one network,
+whose size is fixed; values are summed as whole numbers, so the order of the tasks doesn't matter.
+One part in five of the rows, by another hash, calibrates: for each
+language a threshold is chosen there from counts of all these rows by label and logit (in steps of 1 / ``STEPS``), and the score is shifted
+so that 0.5 is the threshold.
 The language is told from the text's own function words, never from a column.
 
 Scores, rounded to six places, depend on the text only; labels, lang, source and doc_id are no inputs. Reruns agree.
 
 Cases: null, empty or wordless text is scored like any other, as an empty sequence; labels null or
 other than 0 and 1 are not learnt; rows that repeat a labelled doc_id with one text count once, contradicting labels each; without both
-labels in the sample every score is the share of toxic labels, 0 if there are none; repeated rows
+labels among the labelled rows every score is the share of toxic labels, 0 if there are none; repeated rows
 get equal scores; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import copy
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +41,10 @@ from .hashing import ALNUM, LOWER, groups, mix, ranges, word_hashes, words
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 PREFIXES, STRANDS = (4, 5, 6, 7), 8
-SAMPLE, EPOCHS, BATCH, RATE = 3000, 8, 32, 0.03
-#: Longer texts are scored whole, but not learnt from: the sample has a bound in bytes too.
-SAMPLE_CHARS = 50_000
+#: Rows of a shard, about, as long as there are at most SHARDS; passes over few rows and over many; a step's texts and bytes.
+SHARD, SHARDS, EPOCHS, PASSES, BATCH, BATCH_BYTES, RATE = 8192, 64, 8, 3, 32, 1 << 20, 0.03
+#: Steps of a logit's histogram, and the fraction of one that a trained value is rounded to.
+STEPS, UNIT = 64, 1 << 30
 
 #: Frequent function words by language.
 FUNCTION_WORDS = {
@@ -82,16 +88,6 @@ class Sequences:
         self.ids[ranges(self.start * STRANDS, length)] = numbers
         self.last = np.concatenate([(self.start + filled) * STRANDS - 1 - k for k in range(max(WIDTHS) - 1)])  # whence filters reach into the next text
 
-    @classmethod
-    def of(cls, numbers: list[np.ndarray], rows: list[np.ndarray], languages: list[int]) -> Sequences:
-        """Several texts of one sequence each, as Sequences.parts gave them."""
-        q = cls.__new__(cls)
-        q.rows = np.concatenate([*rows, np.full((1, 1 + len(PREFIXES)), BUCKETS, np.int32)])
-        base = np.cumsum([len(r) for r in rows]) - [len(r) for r in rows]
-        q._place(np.concatenate([n + b for n, b in zip(numbers, base, strict=True)]), np.array([len(n) for n in numbers]))
-        q.language = np.array(languages)
-        return q
-
     @staticmethod
     def _languages(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
         counts = np.stack([np.bincount(of[np.isin(h, known)], minlength=n) for known in _known()], 1)
@@ -119,6 +115,8 @@ class Network:
         self.bias = np.zeros(n, np.float32)
         self.out = (rng.standard_normal(2 * n) * 0.1).astype(np.float32)  # of the highest strand, of the mean
         self.shift = np.zeros(1, np.float32)
+        self.sq = {"emb": np.full(BUCKETS + 1, 1e-3, np.float32), "bias": np.full_like(self.bias, 1e-3), "out": np.full_like(self.out, 1e-3), "shift": np.full(1, 1e-3, np.float32)}
+        self.sq |= {f"f{w}": np.full_like(f, 1e-3) for w, f in enumerate(self.filters)}
 
     def _maps(self, q: Sequences, kind: type = np.float32) -> Iterator[np.ndarray]:
         """Values of each width's filters at every place."""
@@ -141,60 +139,81 @@ class Network:
         pooled = [np.maximum.reduceat(y.reshape(-1, STRANDS, y.shape[1]), q.start) for y in self._maps(q, np.float64)]
         return self._features(np.concatenate(pooled, 2))[2] @ self.out + self.shift[0]
 
-    def fit(self, batches: list[tuple[Sequences, np.ndarray]], epochs: int = EPOCHS) -> None:
-        """Adagrad on the logistic loss; only a filter's highest place in a strand gets a gradient."""
-        sq = {"emb": np.full(BUCKETS + 1, 1e-3, np.float32), "bias": np.full_like(self.bias, 1e-3), "out": np.full_like(self.out, 1e-3), "shift": np.full(1, 1e-3, np.float32)}
-        sq |= {f"f{w}": np.full_like(f, 1e-3) for w, f in enumerate(self.filters)}
-
-        toxic = sum(y.sum() for _, y in batches)
-        weight = np.sqrt((sum(len(y) for _, y in batches) - toxic) / max(toxic, 1))  # halves the imbalance
-        m = len(self.bias)
+    def fit(self, batches: Iterable[tuple[Sequences, np.ndarray]], weight: float) -> np.ndarray:
+        """One pass of Adagrad on the logistic loss, toxic texts weighted; only a filter's highest place in a strand gets a gradient. Returns which embeddings have changed."""
+        m, sq, touched = len(self.bias), self.sq, np.zeros(BUCKETS + 1, bool)
 
         def step(name: str, at: np.ndarray, g: np.ndarray) -> None:
             sq[name] += g * g
             at -= (RATE * g / np.sqrt(sq[name])).astype(np.float32)
 
-        for _ in range(epochs):
-            for q, y in batches:
-                n = len(y)
-                word = self.emb[q.rows].sum(1)
-                peak, value = [], []
-                ends = np.append(q.start[1:], len(q.ids) // STRANDS)
-                for v in self._maps(q):
-                    v = v.reshape(-1, STRANDS, FILTERS)
-                    at = np.stack([v[a:b].argmax(0) + a for a, b in zip(q.start, ends, strict=True)])  # text, strand, filter
-                    value.append(np.take_along_axis(v, at.reshape(-1, STRANDS, FILTERS), 0))
-                    peak.append(at * STRANDS + np.arange(STRANDS)[None, :, None])
-                a, top, x = self._features(np.concatenate(value, 2))
-                d = (1 / (1 + np.exp(-(x @ self.out + self.shift[0]))) - y) * np.where(y > 0, weight, 1).astype(np.float32) / n
-                da = np.repeat((d[:, None] * self.out[m:] / STRANDS)[:, None], STRANDS, 1)
-                np.put_along_axis(da, top[:, None], np.take_along_axis(da, top[:, None], 1) + (d[:, None] * self.out[:m])[:, None], 1)
-                dz = da * (a > 0)
-                at_words, grads = [], []
-                for w, (f, at) in enumerate(zip(self.filters, peak, strict=True)):
-                    own = dz[:, :, w * FILTERS : (w + 1) * FILTERS]
-                    i, s, k = np.nonzero(own)
-                    g, here = np.zeros_like(f), own[i, s, k]
-                    for j in range(len(f)):
-                        ids = q.ids[np.minimum(at[i, s, k] + j, len(q.ids) - 1)]
-                        for c in range(FILTERS):
-                            g[j, :, c] = here[k == c] @ word[ids[k == c]]
-                        at_words.append(ids)
-                        grads.append(here[:, None] * f[j].T[k])
-                    step(f"f{w}", f, g + 1e-4 * f)
-                step("out", self.out, x.T @ d + 1e-4 * self.out)
-                step("bias", self.bias, dz.sum((0, 1)))
-                step("shift", self.shift, d.sum(keepdims=True))
-                # gradients by distinct word, then by embedding row
-                ids, g = np.concatenate(at_words), np.concatenate(grads)
-                seen, back = np.unique(ids, return_inverse=True)
-                of_word = np.stack([np.bincount(back, g[:, c], len(seen)) for c in range(DIM)], 1)
-                where, back = np.unique(q.rows[seen], return_inverse=True)
-                total = np.stack([np.bincount(back.ravel(), np.repeat(of_word[:, c], q.rows.shape[1]), len(where)) for c in range(DIM)], 1).astype(np.float32)
-                total += 1e-5 * self.emb[where]
-                sq["emb"][where] += (total * total).mean(1)
-                self.emb[where] -= RATE * total / np.sqrt(sq["emb"][where])[:, None]
-                self.emb[BUCKETS] = 0
+        for q, y in batches:
+            n = len(y)
+            word = self.emb[q.rows].sum(1)
+            peak, value = [], []
+            ends = np.append(q.start[1:], len(q.ids) // STRANDS)
+            for v in self._maps(q):
+                v = v.reshape(-1, STRANDS, FILTERS)
+                at = np.stack([v[a:b].argmax(0) + a for a, b in zip(q.start, ends, strict=True)])  # text, strand, filter
+                value.append(np.take_along_axis(v, at.reshape(-1, STRANDS, FILTERS), 0))
+                peak.append(at * STRANDS + np.arange(STRANDS)[None, :, None])
+            a, top, x = self._features(np.concatenate(value, 2))
+            d = (1 / (1 + np.exp(-(x @ self.out + self.shift[0]))) - y) * np.where(y > 0, weight, 1).astype(np.float32) / n
+            da = np.repeat((d[:, None] * self.out[m:] / STRANDS)[:, None], STRANDS, 1)
+            np.put_along_axis(da, top[:, None], np.take_along_axis(da, top[:, None], 1) + (d[:, None] * self.out[:m])[:, None], 1)
+            dz = da * (a > 0)
+            at_words, grads = [], []
+            for w, (f, at) in enumerate(zip(self.filters, peak, strict=True)):
+                own = dz[:, :, w * FILTERS : (w + 1) * FILTERS]
+                i, s, k = np.nonzero(own)
+                g, here = np.zeros_like(f), own[i, s, k]
+                for j in range(len(f)):
+                    ids = q.ids[np.minimum(at[i, s, k] + j, len(q.ids) - 1)]
+                    for c in range(FILTERS):
+                        g[j, :, c] = here[k == c] @ word[ids[k == c]]
+                    at_words.append(ids)
+                    grads.append(here[:, None] * f[j].T[k])
+                step(f"f{w}", f, g + 1e-4 * f)
+            step("out", self.out, x.T @ d + 1e-4 * self.out)
+            step("bias", self.bias, dz.sum((0, 1)))
+            step("shift", self.shift, d.sum(keepdims=True))
+            # gradients by distinct word, then by embedding row
+            ids, g = np.concatenate(at_words), np.concatenate(grads)
+            seen, back = np.unique(ids, return_inverse=True)
+            of_word = np.stack([np.bincount(back, g[:, c], len(seen)) for c in range(DIM)], 1)
+            where, back = np.unique(q.rows[seen], return_inverse=True)
+            total = np.stack([np.bincount(back.ravel(), np.repeat(of_word[:, c], q.rows.shape[1]), len(where)) for c in range(DIM)], 1).astype(np.float32)
+            total += 1e-5 * self.emb[where]
+            sq["emb"][where] += (total * total).mean(1)
+            self.emb[where] -= RATE * total / np.sqrt(sq["emb"][where])[:, None]
+            self.emb[BUCKETS] = 0
+            touched[where] = True
+        touched[BUCKETS] = False
+        return touched
+
+    def dense(self) -> list[np.ndarray]:
+        """The values that aren't embeddings, with their sums of squares."""
+        own = [*self.filters, self.bias, self.out, self.shift]
+        return own + [self.sq[k] for k in (*(f"f{w}" for w in range(len(self.filters))), "bias", "out", "shift")]
+
+    def rows(self, touched: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and values of a trained network's rows, DIM + 1 values each: embeddings that changed with their sums of squares, and, below 0, all other values."""
+        own = np.flatnonzero(touched)
+        flat = np.concatenate([x.ravel() for x in self.dense()]).astype(np.float64)
+        flat = np.append(flat, np.zeros(-len(flat) % (DIM + 1))).reshape(-1, DIM + 1)
+        values = np.concatenate([np.column_stack([self.emb[own], self.sq["emb"][own]]), flat])
+        return np.concatenate([own, -1 - np.arange(len(flat))]), np.rint(values * UNIT).astype(np.int64)
+
+    def take(self, numbers: np.ndarray, values: np.ndarray) -> None:
+        """Put values in the rows of such numbers."""
+        own = numbers >= 0
+        self.emb[numbers[own]], self.sq["emb"][numbers[own]] = values[own, :DIM], values[own, DIM]
+        if own.all():
+            return
+        flat, at = values[~own][np.argsort(-numbers[~own])].ravel(), 0
+        for x in self.dense():
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
 
 
 def sequences(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int, Sequences]]:
@@ -202,90 +221,142 @@ def sequences(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, in
         yield first, last, Sequences(data, offsets)
 
 
-def thresholds(logits: np.ndarray, y: np.ndarray, language: np.ndarray) -> np.ndarray:
-    """For each language, and for texts of none, the logit with the fewest errors, balanced over labels, drawn to the common one where rows are few."""
+def thresholds(logits: np.ndarray, y: np.ndarray, language: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each language, and for texts of none, the logit with the fewest errors, balanced over labels, drawn to the common one where rows are few. n: rows of each logit, label and language."""
 
-    def best(z: np.ndarray, t: np.ndarray, start: float) -> float:
-        if not len(z) or t.min() == t.max():
+    def best(own: np.ndarray, start: float) -> float:
+        z, back = np.unique(logits[own], return_inverse=True)
+        toxic, clean = (np.bincount(back, n[own] * (y[own] == k), len(z)) for k in (1, 0))
+        if not toxic.sum() or not clean.sum():
             return start
-        order = np.argsort(z)
-        z, t = z[order], t[order]
         # threshold before position i: toxic under it are missed, others from it on are wrong
-        missed = np.append(0, np.cumsum(t)) / t.sum()
-        wrong = np.append(np.cumsum((1 - t)[::-1])[::-1], 0) / (1 - t).sum()
+        missed = np.append(0, np.cumsum(toxic)) / toxic.sum()
+        wrong = np.append(np.cumsum(clean[::-1])[::-1], 0) / clean.sum()
         cost = 0.5 * missed + wrong
         places = np.flatnonzero(cost <= cost.min() + 1e-12)
         low, high = places[0], places[-1]
         edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
         return float((edges[low] + edges[high]) / 2)
 
-    common = best(logits, y, 0.0)
+    common = best(np.ones(len(logits), bool), 0.0)
     out = []
     for k in range(len(FUNCTION_WORDS) + 1):
         own = language == k
-        toxic = y[own].sum()
+        toxic = n[own & (y == 1)].sum()
         share = toxic / (toxic + 20)
-        out.append(share * best(logits[own], y[own], common) + (1 - share) * common)
+        out.append(share * best(own, common) + (1 - share) * common)
     return np.array(out)
 
 
-Row = tuple[np.ndarray, np.ndarray, int, int, int]
+def _learnt(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents and the (__doc, toxic) that may be learnt from."""
+    other = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0
+    known = labels.where("toxic IN (0, 1)").where(other).select(F.col("doc_id").alias("__doc"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    return docs.where(other).select("doc_id", text.alias("text"), F.xxhash64(text).alias("__of_text")), known
 
 
-def train(rows: list[Row]) -> tuple[Network | None, np.ndarray, float]:
-    """(network, thresholds, share of toxic) from (word numbers, embedding rows, language, label, hash) rows in a given order."""
-    y = np.array([r[3] for r in rows], np.float32)
-    share = float(y.mean()) if len(y) else 0.0
-    if not 0 < share < 1:
-        return None, np.zeros(len(FUNCTION_WORDS) + 1), share
-    hold, fit = [r for r in rows if r[4] % 5 == 0], [r for r in rows if r[4] % 5]
-    if len({r[3] for r in fit}) < 2:
-        fit = rows
-
-    def batches(some: list[Row]) -> list[tuple[Sequences, np.ndarray]]:
-        return [(Sequences.of(*(list(x) for x in zip(*((r[0], r[1], r[2]) for r in own), strict=True))), np.array([r[3] for r in own], np.float32)) for at in range(0, len(some), BATCH) if (own := some[at : at + BATCH])]
-
-    net = Network()
-    net.fit(batches(fit))
-    if not hold:
-        return net, np.zeros(len(FUNCTION_WORDS) + 1), share
-    seen = batches(hold)
-    z = np.concatenate([net.logits(q) for q, _ in seen])
-    return net, thresholds(z, np.concatenate([t for _, t in seen]), np.concatenate([q.language for q, _ in seen])), share
-
-
-def parts(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-    """Word numbers, embedding rows by word number, language of one text."""
-    _, _, q = next(sequences([text], 1 << 40))
-    return q.ids[q.ids < len(q.rows) - 1], q.rows[:-1], int(q.language[0])
-
-
-def sample(docs: DataFrame, labels: DataFrame) -> list[Row]:
-    """At most SAMPLE rows of each label, those with the smallest hashes of doc_id and text, in order of hash."""
-    known = labels.where("toxic IN (0, 1)").select(F.col("doc_id").alias("__doc"), "toxic").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    known = known.distinct().withColumn("__hash", F.abs(F.xxhash64("__doc")))
-    chosen = known.where("toxic = 1").orderBy("__hash", "__doc").limit(SAMPLE).union(known.where("toxic = 0").orderBy("__hash", "__doc").limit(SAMPLE))
-    picked = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["__doc"])  # at most 2 * SAMPLE rows
-    picked = picked.select(F.coalesce("text", F.lit("")).alias("text"), "toxic", "__hash").where(F.length("text") <= SAMPLE_CHARS)
-    picked = picked.dropDuplicates(["text", "toxic", "__hash"]).withColumn("__of_text", F.xxhash64("text"))
+def keys(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, __hash, __of_text) of labelled's rows."""
+    own, known = _learnt(docs, labels)
+    return own.drop("text").join(known, F.col("doc_id") == F.col("__doc")).select("toxic", F.abs(F.xxhash64("__doc")).alias("__hash"), "__of_text").distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [parts(t.encode()) for t in batch.column(0).to_pylist()]
-            columns = [pa.array([n.astype(np.int32).tobytes() for n, _, _ in own], pa.binary()), pa.array([r.astype(np.int32).tobytes() for _, r, _ in own], pa.binary()), pa.array([k for _, _, k in own], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(i) for i in (1, 2, 3))], names=["numbers", "rows", "language", "toxic", "__hash", "__of_text"])
 
-    kind = labels.schema["toxic"].dataType.simpleString()
-    numbered = picked.mapInArrow(run, f"numbers binary, rows binary, language int, toxic {kind}, __hash long, __of_text long")
-    # rows that share a doc_id but not the text could exceed the bound
-    got = numbered.orderBy("__hash", "__of_text", "toxic").limit(2 * SAMPLE).collect()
-    return [(np.frombuffer(r[0], np.int32), np.frombuffer(r[1], np.int32).reshape(-1, 1 + len(PREFIXES)), r[2], int(r[3]), int(r[4])) for r in got]
+def labelled(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
+    """(data, toxic, __hash, __of_text): all labelled rows that may be learnt from, by shard in order of hash, with their whole texts, packed: they are shuffled once and kept for all rounds."""
+    own, known = _learnt(docs, labels)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in frames:
+            for at in range(0, whole.num_rows, 500):
+                frame = whole.slice(at, 500)
+                data = [zlib.compress(t.encode(), 1) for t in frame.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(data, pa.binary()), frame.column(2)], names=["doc_id", "data", "__of_text"])
+
+    packed = own.mapInArrow(pack, f"doc_id {kind}, data binary, __of_text long").repartition(shards, "doc_id")
+    rows = packed.join(known.repartition(shards, "__doc").hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"))
+    return rows.select("data", "toxic", F.abs(F.xxhash64("__doc")).alias("__hash"), "__of_text").sortWithinPartitions("__hash", "__of_text", "toxic")
+
+
+def _batches(frames: Iterator[pa.RecordBatch], held: bool | None) -> Iterator[tuple[Sequences, np.ndarray]]:
+    """Steps of a stream of labelled's rows, of those that calibrate or don't, or of all; rows that repeat the one before count once."""
+    texts: list[bytes] = []
+    toxic: list[int] = []
+    size, before = 0, None
+    for frame in frames:
+        for packed, y, *key in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+            if (key, y) == before or held is not None and held != (key[0] % 5 == 0):
+                continue
+            before = key, y
+            data = zlib.decompress(packed)
+            if texts and (len(texts) == BATCH or size + len(data) > BATCH_BYTES):
+                yield _step(texts, toxic)
+                texts, toxic, size = [], [], 0
+            texts.append(data)
+            toxic.append(y)
+            size += len(data)
+    if texts:
+        yield _step(texts, toxic)
+
+
+def _step(texts: list[bytes], toxic: list[int]) -> tuple[Sequences, np.ndarray]:
+    _, _, q = next(sequences(texts, 1 << 40))
+    return q, np.array(toxic, np.float32)
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, np.ndarray, float]:
+    """(network, thresholds, share of toxic) from all labelled rows that may be learnt from."""
+    spark, none = docs.sparkSession, np.zeros(len(FUNCTION_WORDS) + 1)
+    n = {(r.held, r.toxic): r.n for r in keys(docs, labels).groupBy((F.col("__hash") % 5 == 0).alias("held"), "toxic").agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    share = sum(k for (_, toxic), k in n.items() if toxic) / total if total else 0.0
+    if not 0 < share < 1:
+        return None, none, share
+    split = n.get((False, 0), 0) > 0 and n.get((False, 1), 0) > 0
+    clean, toxic = (n.get((False, y), 0) if split else sum(k for (_, own), k in n.items() if own == y) for y in (0, 1))
+    weight = np.sqrt(clean / toxic)  # halves the imbalance
+    shards = min(SHARDS, -(-(clean + toxic) // SHARD))
+    rounds = max(PASSES, min(EPOCHS, EPOCHS * SHARD // (clean + toxic)))
+    dealt = labelled(docs, labels, shards).persist(StorageLevel.DISK_ONLY)
+    net, values = Network(), [f"v{k}" for k in range(DIM + 1)]
+    for _ in range(rounds):
+        model = spark.sparkContext.broadcast(net)  # BUCKETS * DIM floats, whatever the corpus
+
+        def work(frames: Iterator[pa.RecordBatch], model: Broadcast = model) -> Iterator[pa.RecordBatch]:
+            own = copy.deepcopy(model.value)
+            touched = own.fit(_batches(frames, False if split else None), weight)
+            if touched.any():
+                number, value = own.rows(touched)
+                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *map(pa.array, np.ascontiguousarray(value.T))], names=["number", *values])
+
+        made = dealt.mapInArrow(work, "number int, " + ", ".join(f"{v} long" for v in values))
+        mean = made.groupBy("number").agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values]).toArrow()  # a row an embedding at most
+        if mean.num_rows:
+            net.take(mean.column("number").to_numpy(), np.column_stack([mean.column(v).to_numpy() for v in values]) / (mean.column("n").to_numpy()[:, None] * float(UNIT)))
+        model.unpersist()
+    if not any(held for held, _ in n):
+        dealt.unpersist()
+        return net, none, share
+
+    model = spark.sparkContext.broadcast(net)
+
+    def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for q, y in _batches(frames, True):
+            step = np.rint(np.clip(own.logits(q), -100, 100) * STEPS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(y.astype(np.int32)), pa.array(q.language.astype(np.int32))], names=["step", "toxic", "language"])
+
+    seen = dealt.mapInArrow(place, "step int, toxic int, language int").groupBy("step", "toxic", "language").agg(F.count("*").alias("n")).toArrow()
+    dealt.unpersist()
+    step, y, language, count = (seen.column(c).to_numpy() for c in ("step", "toxic", "language", "n"))
+    return net, thresholds(step / STEPS, y, language, count), share
 
 
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of each row."""
     docs = docs.select("doc_id", "text")
-    net, limits, share = train(sample(docs, labels))
+    net, limits, share = train(docs, labels)
     model = spark.sparkContext.broadcast((net, limits, share))  # BUCKETS * DIM floats, whatever the corpus
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -862,3 +862,18 @@ def test_bpe_refuses_other_tokenizers(tmp_path):
         path.write_text(json.dumps(said | change))
         with pytest.raises(ValueError):
             bpe.ChunkCodec(str(path))
+
+
+def test_toxicity_learns_from_all_labelled_rows_and_whole_texts(spark, monkeypatch):
+    """Each toxic word occurs in a few rows only, after 60,000 characters of a text or beyond the first rows by hash: all are learnt, in several shards."""
+    monkeypatch.setattr(toxicity, "SHARD", 200)
+    import zlib
+
+    long = "plain words " * 5500
+    texts = [f"{long if i % 40 == 2 else ''}some plain words here {'vileword' + chr(97 + i // 2 % 10) if i % 2 else 'mildword'} and more" for i in range(800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")
+    rows = toxicity.labelled(frame, known, 3).collect()
+    assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(800)) and max(len(zlib.decompress(r.data)) for r in rows) > 60_000
+    got = toxicity.score(spark, frame, known).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.95
