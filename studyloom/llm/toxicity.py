@@ -42,7 +42,7 @@ from .hashing import ALNUM, LOWER, groups, mix, ranges, word_hashes, words
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 18, 8, 8, (1, 2, 3)
 PREFIXES, STRANDS = (4, 5, 6, 7), 8
 #: Rows of a shard, about, as long as there are at most SHARDS; passes over few rows and over many; a step's texts and bytes.
-SHARD, SHARDS, EPOCHS, PASSES, BATCH, BATCH_BYTES, RATE = 8192, 64, 8, 3, 32, 1 << 20, 0.03
+SHARD, SHARDS, EPOCHS, PASSES, BATCH, BATCH_BYTES, RATE = 8192, 16, 8, 3, 32, 1 << 20, 0.03
 #: Steps of a logit's histogram, and the fraction of one that a trained value is rounded to.
 STEPS, UNIT = 64, 1 << 30
 
@@ -259,7 +259,7 @@ def _learnt(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keys(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, __hash, __of_text) of labelled's rows."""
     own, known = _learnt(docs, labels)
-    return own.drop("text").join(known, F.col("doc_id") == F.col("__doc")).select("toxic", F.abs(F.xxhash64("__doc")).alias("__hash"), "__of_text").distinct()
+    return own.drop("text").join(known, F.col("doc_id") == F.col("__doc")).select("toxic", F.abs(F.xxhash64("doc_id")).alias("__hash"), "__of_text").distinct()
 
 
 def labelled(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
@@ -271,12 +271,30 @@ def labelled(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
         for whole in frames:
             for at in range(0, whole.num_rows, 500):
                 frame = whole.slice(at, 500)
-                data = [zlib.compress(t.encode(), 1) for t in frame.column(1).to_pylist()]
+                data = [zlib.compress(t.encode(), 6) for t in frame.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([frame.column(0), pa.array(data, pa.binary()), frame.column(2)], names=["doc_id", "data", "__of_text"])
 
-    packed = own.mapInArrow(pack, f"doc_id {kind}, data binary, __of_text long").repartition(shards, "doc_id")
-    rows = packed.join(known.repartition(shards, "__doc").hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"))
-    return rows.select("data", "toxic", F.abs(F.xxhash64("__doc")).alias("__hash"), "__of_text").sortWithinPartitions("__hash", "__of_text", "toxic")
+    def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, marks, before = None, [], None
+        for frame in frames:
+            found = []
+            for name, data, of_text, toxic, key in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+                if name != doc:
+                    doc, marks = name, []
+                if data is None:
+                    marks.append(toxic)
+                elif (name, of_text) != before:  # a repeated row counts once
+                    before = name, of_text
+                    found += [(data, y, key, of_text) for y in marks]
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["data", "toxic", "__hash", "__of_text"])
+
+    packed = own.mapInArrow(pack, f"doc_id {kind}, data binary, __of_text long").withColumn("toxic", F.lit(None).cast("int"))
+    marked = known.select(F.col("__doc").cast(kind).alias("doc_id"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("long").alias("__of_text"), "toxic")
+    # one shuffle to just so many shards: a document's labels come before its texts
+    both = packed.unionByName(marked).withColumn("__hash", F.abs(F.xxhash64("doc_id"))).repartition(shards, "__hash")
+    both = both.sortWithinPartitions("__hash", "doc_id", F.col("data").isNotNull(), "__of_text", "toxic")
+    return both.mapInArrow(meet, "data binary, toxic int, __hash long, __of_text long")
 
 
 def _batches(frames: Iterator[pa.RecordBatch], held: bool | None) -> Iterator[tuple[Sequences, np.ndarray]]:
