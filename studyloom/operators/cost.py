@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Prompts that a worker turns into strings at a time.
+ROWS = 256
+
 #: Neutral stand-ins for the eight providers of the dimension: prices per million tokens.
 PROVIDERS = [
     ("p1", "model-a-pro", 1000000, "one", 3.13, 0.026, 6.26),
@@ -90,10 +93,14 @@ def call(prompts: DataFrame, client: Callable[[str, str], tuple[str, int, int, i
     The client is injected and called in the workers, a batch at a time; wrap it with retries, as a lost task calls again.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [client(s, u) for s, u in zip(f["system"].fillna(""), f["user"].fillna(""), strict=True)]
-            yield pd.DataFrame([(q, *r) for q, r in zip(f["query_id"], rows, strict=True)], columns=["query_id", "content", "input_tokens", "output_tokens", "cache_hit_tokens"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # some rows at a time: texts are Python strings only for so many
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                rows = [client(s or "", u or "") for s, u in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["query_id", "content", "input_tokens", "output_tokens", "cache_hit_tokens"])
 
     kind = prompts.schema["query_id"].dataType.simpleString()
-    return prompts.select("query_id", "system", "user").mapInPandas(run, f"query_id {kind}, content string, input_tokens long, output_tokens long, cache_hit_tokens long")
+    return prompts.select("query_id", "system", "user").mapInArrow(run, f"query_id {kind}, content string, input_tokens long, output_tokens long, cache_hit_tokens long")
