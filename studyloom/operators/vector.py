@@ -14,6 +14,8 @@ from ..functions.vectors import inner_product
 
 #: Queries that one pass over the index answers at most, about; more are answered in several passes.
 BATCH = 4096
+#: Characters of a text that the stand-in encoder takes at a time.
+PIECE = 1 << 14
 
 
 def search(queries: DataFrame, index: DataFrame, k: int = 30, exclude_self: bool = False) -> DataFrame:
@@ -46,11 +48,14 @@ def hashed_encoder(dimension: int = 64) -> Callable[[Iterator[pd.Series]], Itera
         for texts in batches:
             out = []
             for t in texts:
-                points = np.array([ord(c) for c in f"  {t or ''} "], np.uint64)
-                h = points[:-2] * np.uint64(1000003) + points[1:-1] * np.uint64(8191) + points[2:] if len(points) > 2 else points[:0]
-                h = (h ^ (h >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
                 v = np.zeros(dimension)
-                np.add.at(v, (h >> np.uint64(40)).astype(np.int64) % dimension, np.where(h & np.uint64(1 << 39), 1.0, -1.0))
+                text = f"  {t or ''} "
+                # long texts in pieces that share two characters: a number for each character is many times the text
+                for at in range(0, len(text) - 2, PIECE):
+                    points = np.frombuffer(text[at : at + PIECE + 2].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                    h = points[:-2] * np.uint64(1000003) + points[1:-1] * np.uint64(8191) + points[2:]
+                    h = (h ^ (h >> np.uint64(7))) * np.uint64(0x9E3779B97F4A7C15)
+                    np.add.at(v, (h >> np.uint64(40)).astype(np.int64) % dimension, np.where(h & np.uint64(1 << 39), 1.0, -1.0))
                 n = np.linalg.norm(v)
                 out.append((v / n if n else v).astype(np.float32))
             yield pd.Series(out)
