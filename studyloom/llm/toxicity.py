@@ -8,7 +8,7 @@ strands, rectified, enter a logistic unit, so one strong sign counts as well as
 Every worker scores whole texts in bounded groups.
 
 Training reads all labelled rows whose crc32(doc_id as text) mod 5 is not 0, with their whole texts. They are dealt over at most
-``SHARDS`` shards by hash; in each round every shard's task streams through its rows in order of hash, beginning with the common
+``SHARDS`` shards by hash, whatever the number of partitions; in each round every shard's rows are streamed in order of hash, beginning with the common
 network, and the networks of all shards are averaged, an embedding over the shards that changed it. The driver holds one network,
 whose size is fixed; values are summed as whole numbers, so the order of the tasks doesn't matter.
 One part in five of the rows, by another hash, calibrates: for each
@@ -27,6 +27,7 @@ get equal scores; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import copy
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -263,7 +264,7 @@ def keys(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
-    """(data, toxic, __hash, __of_text): all labelled rows that may be learnt from, by shard in order of hash, with their whole texts, packed: they are shuffled once and kept for all rounds."""
+    """(data, toxic, __hash, __of_text, __shard): all labelled rows that may be learnt from, by shard in order of hash, with their whole texts, packed: they are shuffled once and kept for all rounds."""
     own, known = _learnt(docs, labels)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -278,23 +279,37 @@ def labelled(docs: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
         doc, marks, before = None, [], None
         for frame in frames:
             found = []
-            for name, data, of_text, toxic, key in zip(*(c.to_pylist() for c in frame.columns), strict=True):
+            for name, data, of_text, toxic, key, shard in zip(*(c.to_pylist() for c in frame.columns), strict=True):
                 if name != doc:
                     doc, marks = name, []
                 if data is None:
                     marks.append(toxic)
                 elif (name, of_text) != before:  # a repeated row counts once
                     before = name, of_text
-                    found += [(data, y, key, of_text) for y in marks]
-            columns = zip(*found, strict=True) if found else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["data", "toxic", "__hash", "__of_text"])
+                    found += [(data, y, key, of_text, shard) for y in marks]
+            columns = zip(*found, strict=True) if found else [[]] * 5
+            kinds = pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["data", "toxic", "__hash", "__of_text", "__shard"])
 
     packed = own.mapInArrow(pack, f"doc_id {kind}, data binary, __of_text long").withColumn("toxic", F.lit(None).cast("int"))
     marked = known.select(F.col("__doc").cast(kind).alias("doc_id"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("long").alias("__of_text"), "toxic")
-    # one shuffle to just so many shards: a document's labels come before its texts
-    both = packed.unionByName(marked).withColumn("__hash", F.abs(F.xxhash64("doc_id"))).repartition(shards, "__hash")
-    both = both.sortWithinPartitions("__hash", "doc_id", F.col("data").isNotNull(), "__of_text", "toxic")
-    return both.mapInArrow(meet, "data binary, toxic int, __hash long, __of_text long")
+    # one shuffle, a partition a shard: a document's labels come before its texts; the hash is mixed again, as its remainder by 5 says who calibrates
+    both = packed.unionByName(marked).withColumn("__hash", F.abs(F.xxhash64("doc_id"))).withColumn("__shard", F.pmod(F.xxhash64("__hash"), F.lit(shards)).cast("int"))
+    both = both.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__shard", "__hash", "doc_id", F.col("data").isNotNull(), "__of_text", "toxic")
+    return both.mapInArrow(meet, "data binary, toxic int, __hash long, __of_text long, __shard int")
+
+
+def _by_shard(frames: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+    """The streams of the shards in a partition of labelled's rows."""
+
+    def cut() -> Iterator[tuple[int, pa.RecordBatch]]:
+        for frame in frames:
+            shard = frame.column("__shard").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            yield from ((int(shard[a]), frame.slice(a, b - a)) for a, b in itertools.pairwise(edges) if a < b)
+
+    for _, own in itertools.groupby(cut(), key=lambda x: x[0]):
+        yield (frame for _, frame in own)
 
 
 def _batches(frames: Iterator[pa.RecordBatch], held: bool | None) -> Iterator[tuple[Sequences, np.ndarray]]:
@@ -342,11 +357,12 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Network | None, np.ndarra
         model = spark.sparkContext.broadcast(net)  # BUCKETS * DIM floats, whatever the corpus
 
         def work(frames: Iterator[pa.RecordBatch], model: Broadcast = model) -> Iterator[pa.RecordBatch]:
-            own = copy.deepcopy(model.value)
-            touched = own.fit(_batches(frames, False if split else None), weight)
-            if touched.any():
-                number, value = own.rows(touched)
-                yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *map(pa.array, np.ascontiguousarray(value.T))], names=["number", *values])
+            for shard in _by_shard(frames):
+                own = copy.deepcopy(model.value)
+                touched = own.fit(_batches(shard, False if split else None), weight)
+                if touched.any():
+                    number, value = own.rows(touched)
+                    yield pa.RecordBatch.from_arrays([pa.array(number.astype(np.int32)), *map(pa.array, np.ascontiguousarray(value.T))], names=["number", *values])
 
         made = dealt.mapInArrow(work, "number int, " + ", ".join(f"{v} long" for v in values))
         mean = made.groupBy("number").agg(F.count("*").alias("n"), *[F.sum(v).alias(v) for v in values]).toArrow()  # a row an embedding at most

@@ -877,3 +877,18 @@ def test_toxicity_learns_from_all_labelled_rows_and_whole_texts(spark, monkeypat
     assert len(rows) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(800)) and max(len(zlib.decompress(r.data)) for r in rows) > 60_000
     got = toxicity.score(spark, frame, known).collect()
     assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.95
+
+
+def test_toxicity_networks_are_by_shard_whatever_the_partitions(spark, monkeypatch):
+    """Three shards give three networks, in one partition or dealt over 40."""
+    monkeypatch.setattr(toxicity, "SHARD", 200)
+    texts = [f"some plain words here {'vileword' if i % 2 else 'mildword'} and more of w{i}" for i in range(800)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")
+    want = sorted(toxicity.score(spark, frame, known).collect())
+    kind = type(frame)
+    for n in (1, 40):
+        with monkeypatch.context() as m:
+            for name in ("repartition", "repartitionById"):
+                m.setattr(kind, name, lambda self, _, *by, f=getattr(kind, name), n=n: f(self, n, *by))
+            assert sorted(toxicity.score(spark, frame, known).collect()) == want
