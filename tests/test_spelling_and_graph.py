@@ -46,6 +46,28 @@ def test_corrections_equal_all_pairs(spark):
     assert spelling.corrected(frame, spelling.corrections(frame)).agg(F.sum("n_corrected")).first()[0] == sum(n[w] for w in want)
 
 
+def test_forms_without_partner_stay_out_of_the_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    known = [word(9) for _ in range(40)]
+    rare = [word(11) for _ in range(2000)] + [w[:-1] for w in known]
+    kept = []
+    made = spelling.may_meet
+
+    def seen(rows, own, n):
+        out = made(rows, own, n)
+        kept.append((rows.count(), out.count(), rows.join(own, "form", "left_semi").select(*rows.columns).exceptAll(out).count()))
+        return out
+
+    monkeypatch.setattr(spelling, "may_meet", seen)
+    frame = spark.createDataFrame([(" ".join(known * 20 + rare),)], "text string")
+    got = spelling.corrections(frame)
+    assert {(r.word, r.correction) for r in got.collect()} >= {(w[:-1], w) for w in known}
+    (every, left, lost), plan = kept[0], got._jdf.queryExecution().toString()
+    assert every > 100_000 and left < every / 10 and lost == 0
+    assert "SortMergeJoin" in plan  # the known words' forms aren't sent whole
+
+
 def plain_components(nodes, edges):
     reach = {n: {n} for n in nodes}
     changed = True
