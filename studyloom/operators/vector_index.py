@@ -69,6 +69,17 @@ def centres_of(sample: np.ndarray, clusters: int, rounds: int = ROUNDS) -> np.nd
     return centres
 
 
+def sampled(rows: DataFrame, size: int, n: int) -> pa.ChunkedArray:
+    """The embeddings of the least hashes of n rows (pos, embedding), in order. Only rows below a hash that twice as many stay under are sorted, as all tasks' best meet in one; if these are too few, all are."""
+    key = F.xxhash64("pos")
+    under = rows.where(key <= -(1 << 63) + (1 << 64) * 2 * size // n) if n > 2 * size else rows
+    for some in (under, rows):
+        out = some.orderBy(key, "pos").select("embedding").limit(size).toArrow().column("embedding")
+        if len(out) >= min(size, n):
+            break
+    return out
+
+
 def write_index(vectors: DataFrame, path: str, clusters: int | None = None, part: int = PART) -> None:
     """Index vectors (pos, embedding) under path, which must be new. clusters: about the root of their number, unless given, at most CLUSTERS."""
     spark = vectors.sparkSession
@@ -78,7 +89,7 @@ def write_index(vectors: DataFrame, path: str, clusters: int | None = None, part
     shape = rows.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"), F.bool_or(F.exists("embedding", lambda x: x.isNull() | F.isnan(x))).alias("holes")).first()
     if shape.n and (shape.least != shape.most or shape.holes):
         raise ValueError("vectors of an index have one length and no holes")
-    sample = _matrix(rows.orderBy(F.xxhash64("pos"), "pos").select("embedding").limit(SAMPLE).toArrow().column("embedding"))
+    sample = _matrix(sampled(rows, SAMPLE, shape.n))
     centres = centres_of(sample, min(clusters or max(1, round(shape.n**0.5)), CLUSTERS))
     out = pa.schema([("cluster", pa.int32()), ("pos", pa.int64()), ("embedding", pa.list_(pa.float32())), ("distance", pa.float64()), ("norm", pa.float64()), ("cosine", pa.float64())])
     lengths = np.linalg.norm(centres, axis=1) if len(centres) else np.zeros(0)

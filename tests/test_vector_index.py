@@ -78,3 +78,24 @@ def test_nearest_centres_in_bounded_memory():
     some = rng.choice(len(m), 200, replace=False)
     assert (near[some] == np.argmin(((m[some][:, None] - centres) ** 2).sum(axis=2), axis=1)).all()
     assert len(vector_index._nearest(m[:0], centres)) == 0
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_sample_is_that_of_the_least_hashes(spark, monkeypatch, same):
+    """Also where positions repeat, so that few rows or none have such hashes."""
+    rows = spark.range(3000).selectExpr("CASE WHEN %s THEN 7 ELSE id END AS pos" % str(same).lower(), "array(cast(CASE WHEN %s THEN 1 ELSE id END AS float)) AS embedding" % str(same).lower())
+    sorted_ = []
+    kind = type(rows)
+    monkeypatch.setattr(kind, "orderBy", lambda self, *by, f=kind.orderBy: sorted_.append(self.count()) or f(self, *by))
+    got = vector_index.sampled(rows, 40, 3000).to_pylist()
+    want = [r.embedding for r in rows.sort(F.xxhash64("pos"), "pos").limit(40).collect()]
+    assert got == want and len(got) == 40 and (same or sorted_[0] < 200)
+
+
+def test_encoded_vectors_are_made_once(spark, sf001, monkeypatch):
+    from studyloom.plans import queries
+
+    plans = []
+    monkeypatch.setattr(queries.vector_index, "write_index", lambda df, *a, f=vector_index.write_index: plans.append(df._jdf.queryExecution().toString()) or f(df, *a))
+    assert not queries.QUERIES["encoded_neighbours"](spark, sf001).isEmpty()
+    assert plans and "MapInArrow" not in plans[0]
